@@ -14,13 +14,30 @@ _REACH = """
 """
 
 SQL = {
+    "op6_substring_dedup": f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+  win AS (
+    SELECT doc_id, unnest(range(1, len(w) - 18)) AS s,
+      unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS g
+    FROM t WHERE len(w) >= 20
+  ),
+  hit AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM win) WHERE k > 1
+  ),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM hit),
+  lost AS (SELECT doc_id, list(i) AS l, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+    ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(l, i)), lambda i: w[i]), ' '), '') END) AS kept_sha256
+FROM t LEFT JOIN lost USING (doc_id)
+""",
     "op8_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents
   ),
   s AS (
     SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2
-      THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) ELSE w END) AS s
+      THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s
     FROM w
   ),
   n AS (SELECT doc_id, len(s) AS n FROM s),
