@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm import minhash, substring
+from amberline.llm import decontaminate, minhash, substring
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
@@ -16,12 +16,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, Scratch(spark, "op8"), words=2, percent=80)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(docs, items).drop("spans", "items")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring.substring_dedup(docs, Scratch(spark, "op6"), texts=False).drop("kept")
 
 
-_QUERIES = [op6_substring_dedup, op8_minhash_near_dedup]
+_QUERIES = [op4_benchmark_decontamination, op6_substring_dedup, op8_minhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,32 @@ _REACH = """
   component AS (SELECT v, min(c) AS component_id FROM reach GROUP BY v)
 """
 
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 SQL = {
+    "op4_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+  p AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS m,
+      unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+    FROM b WHERE len(w) > 0
+  ),
+  win AS (
+    SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS s,
+      unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g
+    FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m
+  ),
+  hit AS (SELECT doc_id, win.m, s, item_id FROM win JOIN p ON p.g = win.g AND p.m = win.m),
+  gone AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM hit) GROUP BY doc_id),
+  named AS (
+    SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id
+  )
+SELECT d.doc_id, len(w) AS n_words, coalesce(gone.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(gone.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
     "op6_substring_dedup": f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
   win AS (
