@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm import decontaminate, minhash, substring
+from amberline.llm import decontaminate, minhash, substring, suffix
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
@@ -26,7 +26,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(docs, Scratch(spark, "op6"), texts=False).drop("kept")
 
 
-_QUERIES = [op4_benchmark_decontamination, op6_substring_dedup, op8_minhash_near_dedup]
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return suffix.suffix_dedup(docs, Scratch(spark, "op9"), kept=False).drop("kept")
+
+
+_QUERIES = [op4_benchmark_decontamination, op6_substring_dedup, op8_minhash_near_dedup, op9_suffix_array_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
