@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberline.llm import text as X
-from amberline.llm.components import components
+from amberline.llm.buckets import lanes_differ, link_buckets
 from amberline.llm.scratch import Scratch
 
 CHUNKS, LANES, DISTANCE = 8, 4, 15
@@ -85,18 +85,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             each = [np.unique(grams[at[r] : at[r + 1]]) for r in range(b - a)]
             ends = np.concatenate([[0], np.cumsum([len(u) for u in each])]).astype(np.int32)
             values = np.concatenate(each).view(np.int64) if each else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "grams"])
-
-
-def distance(a: str, b: str) -> Column:
-    """In how many of the 32 positions two signatures differ."""
-    total = []
-    for i in range(CHUNKS):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for by in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        total.append(F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
-    return sum(total[1:], total[0])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "s"])
 
 
 def _keys(sig: str) -> Column:
@@ -118,10 +107,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     smallest doc_id that links reach.
 
     Equal sets are one class, linked through a hash of the whole set, so copies cost
-    one row each. Within a bucket every class is held against the bucket's smallest
-    class; only classes that remain in other components than that one are then held
-    against the rest, so a large group of near copies costs rows in proportion to its
-    size, and yet no candidate pair across components goes untested.
+    one row each; ``link_buckets`` holds classes that share a bucket against each other.
 
     Null and empty texts have no shingles, link with nothing and are kept. Rows that
     share a doc_id count as one document. A null doc_id links with nothing (component
@@ -131,41 +117,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     sig = scratch.save(docs.mapInArrow(partial(_signatures, n=words), "doc_id long, n long, d1 long, d2 long, sig array<long>"))
     real = sig.where("n > 0 and doc_id is not null")
     classes = scratch.save(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
-    keyed = classes.select(F.explode(_keys("sig")).alias("key"), "rep")
-    leads = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
-    members = scratch.save(keyed.join(leads, "key"))
-
-    sigs = classes.select("rep", "n", "sig")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link; first by signature, then by their sets."""
-        left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-        right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-        fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (distance("sa", "sb") <= DISTANCE)
-        close = scratch.save(pairs.distinct().join(left, "a").join(right, "b").where(fit).select("a", "b", "na", "nb"))
-        wanted = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = scratch.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, n=words), "doc_id long, grams array<long>"))
-        both = close.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("ga", "gb")))
-        out = scratch.save(both.where(100 * F.col("shared") >= percent * (F.size("ga") + F.size("gb") - F.col("shared"))).select("a", "b").distinct())
-        scratch.drop(sets, close)
-        return out
-
-    links = linked(members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-    comp = components(links, scratch)
-    named = members.join(comp.select(F.col("v").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    named = named.join(comp.select(F.col("v").alias("lead"), F.col("component").alias("lc")), "lead", "left")
-    named = scratch.save(named.select("key", "rep", "lead", F.coalesce("c", "rep").alias("c"), F.coalesce("lc", "lead").alias("lc")))
-    apart = named.where("c <> lc")
-    around = named.join(apart.select("key").distinct(), "key", "left_semi").join(sigs.select("rep", "sig", "n"), "rep")
-    near = apart.join(sigs.select("rep", "sig", "n"), "rep").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    far = around.select("key", "lead", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("lc").alias("lb"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    met = (F.col("ca") != F.col("cb")) & (F.col("b") != F.col("lead")) & ((F.col("cb") == F.col("lb")) | (F.col("a") < F.col("b")))
-    met = met & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (distance("sa", "sb") <= DISTANCE)
-    pairs = near.join(far.withColumnRenamed("key", "k2"), (F.col("key") == F.col("k2")) & met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(pairs)
-    edges = links.unionAll(more)
-    comp = components(edges, scratch)
+    keyed = classes.select(F.explode(_keys("sig")).alias("key"), F.col("rep").alias("v"))
+
+    def close(a: str, b: str) -> Column:
+        return sum((lanes_differ(F.col(a)[i], F.col(b)[i], 16) for i in range(1, CHUNKS)), lanes_differ(F.col(a)[0], F.col(b)[0], 16)) <= DISTANCE
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = scratch.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, n=words), "doc_id long, s array<long>"))
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+        return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+
+    comp = link_buckets(keyed, classes.select(F.col("rep").alias("v"), "n", "sig"), close, confirm, percent, scratch)
 
     # a document stands for all its rows, and so joins the classes of all of them
     rows = sig.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, minhash, substring, suffix
+from amberline.llm import decontaminate, lines, minhash, substring, suffix
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
@@ -21,6 +22,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(docs, items).drop("spans", "items")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = lines.line_dedup(docs, Scratch(spark, "op5"))
+    return out.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring.substring_dedup(docs, Scratch(spark, "op6"), texts=False).drop("kept")
@@ -31,7 +38,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(docs, Scratch(spark, "op9"), kept=False).drop("kept")
 
 
-_QUERIES = [op4_benchmark_decontamination, op6_substring_dedup, op8_minhash_near_dedup, op9_suffix_array_dedup]
+_QUERIES = [op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op8_minhash_near_dedup, op9_suffix_array_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
