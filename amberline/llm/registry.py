@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, lines, minhash, substring, suffix
+from amberline.llm import decontaminate, lines, minhash, packing, substring, suffix
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
@@ -17,6 +17,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, Scratch(spark, "op8"), words=2, percent=80)
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.pack(docs, Scratch(spark, "op2"), vocabulary("word_bpe_49k.json"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs, items).drop("spans", "items")
@@ -38,7 +50,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(docs, Scratch(spark, "op9"), kept=False).drop("kept")
 
 
-_QUERIES = [op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op8_minhash_near_dedup, op9_suffix_array_dedup]
+_QUERIES = [op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op8_minhash_near_dedup, op9_suffix_array_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
