@@ -1,15 +1,15 @@
 """Exact removal of repeated word windows by super-k-mer partitioning (operator 6).
 
-Every window of W words has a minimiser: its word M-mer of least hash, leftmost on
-ties. Consecutive windows that share it travel as one packed string, the super-k-mer,
-to the minimiser's bucket. There windows come in the order of (doc_id, start), sorted by Spark with
-spilling, and each is a repeat if an equal one came before. Equal windows have equal
-minimisers, so no repeat is missed.
+Every window of W words has a minimiser: its word M-mer of least hash. Consecutive
+windows that share it travel as one packed string, the super-k-mer, to the
+minimiser's bucket. There all windows are sorted, and each is a repeat if an equal one
+starts earlier. Equal windows have equal minimisers, so no repeat is missed.
 
 Each map task first combines what it holds: windows that repeat an earlier one of the
-same task are decided there and do not travel, so a passage in a third of all
-documents reaches its bucket once per task, not once per document. A bucket is read as
-a stream; its memory grows with its distinct windows, not with their occurrences.
+same few MB are decided there and do not travel, so a passage in a third of all
+documents reaches its bucket once per few MB, not once per document. What travels is
+packed and compressed by bucket. A bucket is read as a stream; its memory grows with
+its distinct windows, not with their occurrences.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,30 +29,37 @@ from amberline.llm.scratch import Scratch
 
 #: Texts of a map task that are combined together, in bytes.
 COMBINE = 4 << 20
-_PARTS = "bucket long, doc_id long, start long, words int, packed binary"
-
-
-def minimisers(h: np.ndarray, size: int, m: int) -> np.ndarray:
-    """For each window of ``size`` items, where its m-mer of least hash begins (leftmost on ties)."""
-    grams = X.windows(h, m, 1)
-    width = size - m + 1
-    n = len(grams) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    low = X.sliding_min(grams, width)
-    at = np.full(n, -1, np.int64)
-    todo = np.arange(n)
-    for k in range(width):
-        hit = grams[todo + k] == low[todo]
-        at[todo[hit]] = todo[hit] + k
-        todo = todo[~hit]
-        if not len(todo):
-            break
-    return at
-
-
-def _runs(batches: Iterator[pa.RecordBatch], size: int, m: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: words > 0 is a super-k-mer; words < 0 are -words covered words, decided here."""
+_PACKS = "bucket int, pack binary"
+
+
+def _pack(fields: list[np.ndarray], text: bytes = b"") -> bytes:
+    """Arrays of one length and a text, compressed."""
+    head = np.array([len(fields), len(fields[0])], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.astype(np.int64).tobytes() for x in fields) + text)
+
+
+def _unpack(pack: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(pack)
+    k, n = np.frombuffer(raw, np.int64, 2)
+    fields = np.frombuffer(raw, np.int64, k * n, 16).reshape(k, n)
+    return list(fields), raw[16 + 8 * k * n :]
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, size: int) -> list[np.ndarray]:
+    """Windows as runs (doc_id, start, words)."""
+    if not len(doc):
+        return [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    brk = np.ones(len(doc), bool)
+    brk[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    head = np.flatnonzero(brk)
+    last = np.append(head[1:], len(doc)) - 1
+    return [doc[head], start[head], start[last] - start[head] + size]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: int, m: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs of super-k-mers (doc ids, first words, byte lengths; texts), a bucket each; bucket < 0: spans decided here."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for a, b, data, off in X.slices(batch.column("text"), COMBINE):
@@ -76,76 +84,84 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, m: int) -> Iterator[pa.R
                 s, t = w0[order], w1[order]
                 repeat[:] = False
                 repeat[order[1:]] = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
-            mins = minimisers(h, size, m)[ok]
-            keys = X.windows(h, m, 1)[mins]
+            # the least m-mer of each window; windows in a row with the same are one super-k-mer
+            keys = X.sliding_min(X.windows(h, m, 1), size - m + 1)[ok]
             brk = np.ones(len(ok), bool)
-            brk[1:] = (ok[1:] != ok[:-1] + 1) | (row[1:] != row[:-1]) | (repeat[1:] != repeat[:-1]) | (~repeat[1:] & (mins[1:] != mins[:-1]))
-            head = np.flatnonzero(brk)
-            length = np.diff(np.append(head, len(ok)))
-            begin, span = ok[head], length + size - 1
-            done = repeat[head]
-            low, high = starts[begin], ends[begin + span - 1]
-            count = np.where(done, 0, high - low)
-            packed = data[X.spread(low, count)]
-            at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            bucket = np.where(done, X.mix(begin.astype(np.uint64)), keys[head]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket),
-                    pa.array(doc[head]),
-                    pa.array(begin - first[row[head]]),
-                    pa.array(np.where(done, -span, span).astype(np.int32)),
-                    pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(packed.tobytes())]),
-                ],
-                ["bucket", "doc_id", "start", "words", "packed"],
-            )
+            brk[1:] = (ok[1:] != ok[:-1] + 1) | (row[1:] != row[:-1]) | repeat[1:] | repeat[:-1] | (keys[1:] != keys[:-1])
+            head = np.flatnonzero(brk & ~repeat)
+            until = np.append(np.flatnonzero(brk), len(ok))
+            last = until[np.searchsorted(until, head, "right")]
+            bucket = (keys[head] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            head, last, bucket = head[order], last[order], bucket[order]
+            begin, low = ok[head], starts[ok[head]]
+            count = ends[ok[last - 1] + size - 1] - low
+            text = data[X.spread(low, count)].tobytes()
+            at = np.concatenate([[0], np.cumsum(count)])
+            fields = [doc[head], begin - first[row[head]], count]
+            edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+            packs = [_pack([x[i:j] for x in fields], text[at[i] : at[j]]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            own = bucket[edge[:-1]].tolist()
+            if repeat.any():
+                own.append(-1 - X.mix_int(int(ids[a])) % buckets)
+                packs.append(_pack(_spans(doc[repeat], ok[repeat] - first[row[repeat]], size)))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Covered spans (doc_id, start, words) from rows in the order of (bucket, doc_id, start)."""
-    open_bucket, seen = None, set()
+    """Covered spans (doc_id, start, words) from packs in the order of their buckets.
+
+    Of each distinct window of the bucket the earliest occurrence so far is held; of two
+    occurrences the later is a repeat. So packs come in any order and memory follows the
+    bucket's distinct windows.
+    """
+    none = [np.zeros(0, x) for x in (np.uint64, np.uint64, np.int64, np.int64)]
+    held, fields, texts, waiting, bucket = none, [], [], 0, None
+    out: list[list[np.ndarray]] = []
+
+    def settle() -> None:
+        nonlocal held, fields, texts, waiting
+        if not fields:
+            return
+        doc, begin, count = (np.concatenate(x) for x in zip(*fields, strict=True))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        starts, ends, first = X.words(data, np.concatenate([[0], np.cumsum(count)]), X.SPACE)
+        at = np.flatnonzero(X.within(first, size, len(starts)))
+        row = np.searchsorted(first, at, "right") - 1
+        new = [X.windows(X.hash_words(data, starts, ends, i), size, i)[at] for i in range(2)] + [doc[row], begin[row] + at - first[row]]
+        h, g, d, s = (np.concatenate(x) for x in zip(held, new, strict=True))
+        order = np.lexsort((s, d, g, h))
+        h, g, d, s = h[order], g[order], d[order], s[order]
+        later = np.zeros(len(h), bool)
+        later[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+        held = [x[~later] for x in (h, g, d, s)]
+        fields, texts, waiting = [], [], 0
+        out.append(_spans(d[later], s[later], size))
+
+    def emit() -> pa.RecordBatch:
+        got = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(got, ["doc_id", "start", "words"])
+
     for batch in batches:
-        bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
-        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        start = batch.column("start").to_numpy(zero_copy_only=False)
-        span = batch.column("words").to_numpy(zero_copy_only=False).astype(np.int64)
-        out = [(doc[span < 0], start[span < 0], -span[span < 0])]
-        for a, b, data, off in X.slices(batch.column("packed")):
-            starts, ends, first = X.words(data, off, X.SPACE)
-            n = len(starts)
-            if n < size:
+        for own, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
+            if own != bucket:
+                settle()
+                held, bucket = none, own
+            got, text = _unpack(pack.as_py())
+            if own < 0:
+                out.append(got)
                 continue
-            at = np.flatnonzero(X.within(first, size, n))
-            row = np.searchsorted(first, at, "right") - 1
-            key = np.empty(len(at), [("b", np.int64), ("h", np.uint64), ("g", np.uint64)])
-            key["b"] = bucket[a + row]
-            key["h"] = X.windows(X.hash_words(data, starts, ends), size)[at]
-            key["g"] = X.windows(X.hash_words(data, starts, ends, 1), size, 1)[at]
-            order = np.lexsort((key["g"], key["h"], key["b"]))  # stable: equal windows stay in corpus order
-            s = key[order]
-            same = np.zeros(len(at), bool)
-            same[1:] = (s["b"][1:] == s["b"][:-1]) & (s["h"][1:] == s["h"][:-1]) & (s["g"][1:] == s["g"][:-1])
-            hit = np.zeros(len(at), bool)
-            hit[order[same]] = True
-            # the bucket that goes on from what came before
-            mine = np.flatnonzero((key["b"] == open_bucket) & ~hit) if seen else ()
-            for i in mine:
-                if (int(key["h"][i]), int(key["g"][i])) in seen:
-                    hit[i] = True
-            last = int(bucket[b - 1])
-            if last != open_bucket:
-                open_bucket, seen = last, set()
-            tail = (key["b"] == last) & ~hit
-            seen.update(zip(key["h"][tail].tolist(), key["g"][tail].tolist(), strict=True))
-            got = np.flatnonzero(hit)
-            if len(got):
-                brk = np.ones(len(got), bool)
-                brk[1:] = (got[1:] != got[:-1] + 1) | (row[got][1:] != row[got][:-1])
-                head = np.flatnonzero(brk)
-                length = np.diff(np.append(head, len(got)))
-                r = row[got[head]]
-                out.append((doc[a + r], start[a + r] + at[got[head]] - first[r], length + size - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["doc_id", "start", "words"])
+            fields.append(got)
+            texts.append(text)
+            waiting += len(text)
+            if waiting >= COMBINE:
+                settle()
+        if out:
+            yield emit()
+    settle()
+    if out:
+        yield emit()
 
 
 def repeated_words(docs: DataFrame, scratch: Scratch, size: int = 20, m: int = 4) -> DataFrame:
@@ -157,8 +173,9 @@ def repeated_words(docs: DataFrame, scratch: Scratch, size: int = 20, m: int = 4
     share a doc_id are ordered arbitrarily among themselves.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    runs = docs.mapInArrow(partial(_runs, size=size, m=m), _PARTS)
-    placed = runs.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start")
+    buckets = max(1024, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packs = docs.mapInArrow(partial(_runs, size=size, m=m, buckets=buckets), _PACKS)
+    placed = packs.repartition("bucket").sortWithinPartitions("bucket")
     return scratch.save(placed.mapInArrow(partial(_repeats, size=size), "doc_id long, start long, words long"))
 
 
