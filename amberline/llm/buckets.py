@@ -11,6 +11,10 @@ from amberline.llm.components import components
 from amberline.llm.scratch import Scratch
 
 
+#: Members of a bucket's largest component that the others are held against at a time, and how often at most.
+PIVOTS, ROUNDS = 6, 4
+
+
 def lanes_differ(a: Column, b: Column, bits: int) -> Column:
     """In how many lanes of ``bits`` bits (8 or 16) two longs differ."""
     x = a.bitwiseXOR(b)
@@ -23,40 +27,79 @@ def link_buckets(
     keyed: DataFrame,
     sigs: DataFrame,
     close: Callable[[str, str], Column],
-    confirm: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
     percent: int,
     scratch: Scratch,
+    sized: bool = True,
 ) -> DataFrame:
     """(v, component) of all links among vertices that share a key; only vertices that are not the least.
 
-    keyed: (key, v). sigs: (v, n, sig), n the set's size. close: whether the signatures
-    in two named columns are near enough. confirm: of pairs (a, b), those that link.
+    keyed: (key, v). sigs: (v, n, sig), n the set's size (held against each other if ``sized``). close: whether the signatures
+    in two named columns are near enough. sets_of: (v, s) with the whole set s, an array
+    of longs without repeats, of each v wanted; asked for once a vertex.
+    Sets link when 100 * intersection >= percent * union.
 
-    First every member of a bucket is held against the bucket's least member, so a
-    bucket costs its size. Only members that are then in another component than that
-    one are held against the rest of the bucket, pairs of one component never, and of
-    the pairs met only those with close signatures and sizes are made. So a large group
-    of near copies costs rows in proportion to its size, and no candidate pair between
+    First every member of a bucket is held against the bucket's least member. Then,
+    while links are found, members outside the bucket's largest component are held
+    against ``PIVOTS`` of its members, drawn by hash. Only what is then still apart is
+    held against the rest of its bucket, pairs of one component never, and of the pairs
+    met only those with close signatures and sizes are made. So a large group of near
+    copies costs rows in proportion to its size, and no candidate pair between
     components goes untested.
     """
     leads = keyed.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
     members = scratch.save(keyed.join(leads, "key"))
     side = lambda x: sigs.select(F.col("v").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x))
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & close("sa", "sb")
+    near = close("sa", "sb") & (F.lit(True) if not sized else 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    sets: list[DataFrame] = []
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those whose sets link."""
+        pairs = scratch.save(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        for had in sets:
+            wanted = wanted.join(had.select("v"), "v", "left_anti")
+        wanted = scratch.save(wanted)
+        if not wanted.isEmpty():
+            sets.append(scratch.save(sets_of(wanted)))
+        if not sets:
+            return pairs
+        known = sets[0]
+        for had in sets[1:]:
+            known = known.unionAll(had)
+        both = pairs.join(known.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+        return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
     stars = members.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b")).distinct()
     links = scratch.save(confirm(stars.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")))
 
+    def divided(comp: DataFrame) -> DataFrame:
+        """Members (key, v, c, main) of buckets with several components; main: the bucket's largest."""
+        named = members.join(comp.select("v", F.col("component").alias("c")), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
+        mains = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"))).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+        return scratch.save(named.join(mains.select("key", "m.main"), "key"))
+
     comp = components(links, scratch)
-    named = members.join(comp.select("v", F.col("component").alias("c")), "v", "left")
-    named = named.join(comp.select(F.col("v").alias("lead"), F.col("component").alias("lc")), "lead", "left")
-    named = scratch.save(named.select("key", "v", "lead", F.coalesce("c", "v").alias("c"), F.coalesce("lc", "lead").alias("lc")))
-    apart = named.where("c <> lc")
-    around = named.join(apart.select(F.col("key")).distinct(), "key", "left_semi")
+    named = divided(comp)
+    for turn in range(ROUNDS):
+        least = [F.min(F.struct(F.xxhash64("v", F.lit(turn * PIVOTS + i)).alias("h"), "v")).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = named.where("c = main").groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}.v" for i in range(PIVOTS)]))).alias("b"))
+        pairs = named.where("c <> main").select("key", F.col("v").alias("a")).join(pivots, "key").select("a", "b").distinct()
+        more = scratch.save(confirm(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")))
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        comp = components(links, scratch)
+        named = divided(comp)
+    apart = named.where("c <> main")
     left = apart.select("key", F.col("v").alias("a"), F.col("c").alias("ca")).join(side("a"), "a")
-    right = around.where("v <> lead").select(F.col("key").alias("k2"), F.col("v").alias("b"), F.col("c").alias("cb"), F.col("lc").alias("lb")).join(side("b"), "b")
-    met = (F.col("key") == F.col("k2")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("lb")) | (F.col("a") < F.col("b"))) & near
+    right = named.select(F.col("key").alias("k2"), F.col("v").alias("b"), F.col("c").alias("cb"), "main").join(side("b"), "b")
+    met = (F.col("key") == F.col("k2")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & near
     pairs = left.join(right, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.save(confirm(pairs))
-    scratch.drop(members, named)
+    if more.isEmpty():
+        return comp
     return components(links.unionAll(more), scratch)

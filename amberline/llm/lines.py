@@ -67,16 +67,11 @@ def fuzzy_lines(docs: DataFrame, scratch: Scratch, k: int = 8, percent: int = 80
     def close(a: str, b: str) -> Column:
         return sum((lanes_differ(F.col(a)[i], F.col(b)[i], 8) for i in range(1, len(lanes))), lanes_differ(F.col(a)[0], F.col(b)[0], 8)) <= DIFFER
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        sets = scratch.save(lines.select("v", "line").join(wanted, "v", "left_semi").select("v", _shingle_hashes(k).alias("s")))
-        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
-
-    # n counts repeated shingles too, so sizes are not held against each other (percent 0)
-    comp = link_buckets(sig.select(F.explode("keys").alias("key"), "v"), sig.select("v", "n", "sig"), close, confirm, 0, scratch)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return lines.select("v", "line").join(wanted, "v", "left_semi").select("v", _shingle_hashes(k).alias("s"))
+
+    # n counts repeated shingles too, so sizes are not held against each other
+    comp = link_buckets(sig.select(F.explode("keys").alias("key"), "v"), sig.select("v", "n", "sig"), close, sets_of, percent, scratch, sized=False)
     narrow = lines.drop("line").join(comp, "v", "left")
     cid = F.coalesce("component", "v")
     linked = comp.select("component").distinct().withColumnRenamed("component", "c")

@@ -85,7 +85,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             each = [np.unique(grams[at[r] : at[r + 1]]) for r in range(b - a)]
             ends = np.concatenate([[0], np.cumsum([len(u) for u in each])]).astype(np.int32)
             values = np.concatenate(each).view(np.int64) if each else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["v", "s"])
 
 
 def _keys(sig: str) -> Column:
@@ -122,15 +122,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     def close(a: str, b: str) -> Column:
         return sum((lanes_differ(F.col(a)[i], F.col(b)[i], 16) for i in range(1, CHUNKS)), lanes_differ(F.col(a)[0], F.col(b)[0], 16)) <= DISTANCE
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = scratch.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, n=words), "doc_id long, s array<long>"))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        own = docs.join(wanted.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
+        return own.mapInArrow(partial(_sets, n=words), "v long, s array<long>")
 
-    comp = link_buckets(keyed, classes.select(F.col("rep").alias("v"), "n", "sig"), close, confirm, percent, scratch)
+    comp = link_buckets(keyed, classes.select(F.col("rep").alias("v"), "n", "sig"), close, sets_of, percent, scratch)
 
     # a document stands for all its rows, and so joins the classes of all of them
     rows = sig.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
