@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,9 @@ class Scratch:
         path = f"{self.base}/{self.count}"
         self.count += 1
         df.write.option("compression", "zstd").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets the cleaner free the shuffles behind it
+        for _ in range(2):  # lets the cleaner free the shuffles behind it; events of the write may hold them a moment
+            time.sleep(0.1)
+            self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._amberline_path = path

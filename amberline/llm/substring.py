@@ -20,7 +20,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +31,6 @@ COMBINE = 4 << 20
 _PACKS = "bucket int, pack binary"
 
 
-def _pack(fields: list[np.ndarray], text: bytes = b"") -> bytes:
-    """Arrays of one length and a text, compressed."""
-    head = np.array([len(fields), len(fields[0])], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.astype(np.int64).tobytes() for x in fields) + text)
-
-
-def _unpack(pack: bytes) -> tuple[list[np.ndarray], bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(pack)
-    k, n = np.frombuffer(raw, np.int64, 2)
-    fields = np.frombuffer(raw, np.int64, k * n, 16).reshape(k, n)
-    return list(fields), raw[16 + 8 * k * n :]
-
-
 def _spans(doc: np.ndarray, start: np.ndarray, size: int) -> list[np.ndarray]:
     """Windows as runs (doc_id, start, words)."""
     if not len(doc):
@@ -100,11 +86,11 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, m: int, buckets: int) ->
             at = np.concatenate([[0], np.cumsum(count)])
             fields = [doc[head], begin - first[row[head]], count]
             edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-            packs = [_pack([x[i:j] for x in fields], text[at[i] : at[j]]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            packs = [X.pack([x[i:j] for x in fields], text[at[i] : at[j]]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             own = bucket[edge[:-1]].tolist()
             if repeat.any():
                 own.append(-1 - X.mix_int(int(ids[a])) % buckets)
-                packs.append(_pack(_spans(doc[repeat], ok[repeat] - first[row[repeat]], size)))
+                packs.append(X.pack(_spans(doc[repeat], ok[repeat] - first[row[repeat]], size)))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
 
 
@@ -148,7 +134,7 @@ def _repeats(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             if own != bucket:
                 settle()
                 held, bucket = none, own
-            got, text = _unpack(pack.as_py())
+            got, text = X.unpack(pack.as_py())
             if own < 0:
                 out.append(got)
                 continue

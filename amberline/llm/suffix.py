@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from amberline.llm import text as X
 from amberline.llm.scratch import Scratch
 
-COMBINE = 2 << 20
-_PHRASES = "trigger long, entry long, doc_id long, start long, n long"
+#: Bytes of text that a map task combines together, and phrases of a bucket that are settled together.
+COMBINE, SETTLE = 2 << 20, 500_000
+_PACKS = "bucket int, pack binary"
 
 
 def _prefix(data: np.ndarray, which: int) -> np.ndarray:
@@ -45,8 +46,11 @@ def _span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return X.mix(h + (ends - starts).astype(np.uint64))
 
 
-def _parse(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Phrases; n > 0 windows each, or n < 0: -n windows already known to repeat a smaller document's."""
+def _parse(batches: Iterator[pa.RecordBatch], size: int, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs of phrases (trigger and number of windows, entry, doc id, start), a bucket of triggers each.
+
+    Bucket < 0: runs (doc id, start, windows) that are known to repeat a smaller document's.
+    """
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for a, b, data, off in X.slices(batch.column("text"), COMBINE):
@@ -82,58 +86,84 @@ def _parse(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.
             head[1:] = ~(known[1:] & known[:-1] & (row[1:] == row[:-1]) & (begin[1:] == end[:-1]))
             at = np.flatnonzero(head)
             until = end[np.append(at[1:], len(begin)) - 1]
-            n = until - begin[at]
-            n[known[at]] *= -1
-            trigger = np.where(known[at], X.mix(begin[at].astype(np.uint64)), trigger[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(trigger.view(np.int64)), pa.array(entry[at].view(np.int64)), pa.array(doc[at]), pa.array(begin[at] - off[row[at]]), pa.array(n)],
-                ["trigger", "entry", "doc_id", "start", "n"],
-            )
+            n, known, trigger, entry, doc = until - begin[at], known[at], trigger[at], entry[at], doc[at]
+            start = begin[at] - off[row[at]]
+            own, packs = [], []
+            if known.any():
+                own.append(-1 - X.mix_int(int(ids[a])) % buckets)
+                packs.append(X.pack([x[known] for x in (doc, start, n)]))
+            bucket = (trigger % np.uint64(buckets)).astype(np.int64)
+            bucket[known] = -1
+            order = np.argsort(bucket, kind="stable")[np.count_nonzero(known) :]
+            fields = [((trigger >> np.uint64(32) << np.uint64(32)) | n.astype(np.uint64)).view(np.int64)[order], entry.view(np.int64)[order], doc[order], start[order]]
+            bucket = bucket[order]
+            if len(bucket):
+                edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+                packs += [X.pack([x[i:j] for x in fields]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                own += bucket[edge[:-1]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From phrases in the order of (trigger, entry, doc_id): known repeats (n < 0) and what is to be compared (n > 0)."""
-    held: dict = {"t": None}
-    for batch in batches:
-        t, e, d, s, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        known = n < 0
-        out = [(t[known], d[known], s[known], n[known])]
-        open_ = ~known
-        t, e, d, s, n = t[open_], e[open_], d[open_], s[open_], n[open_]
+    """Known repeats (n < 0) and phrases to compare (n > 0) from packs in the order of their buckets.
+
+    Of each entry only the occurrences in its first document so far are held, so packs
+    come in any order and memory follows the bucket's dictionary.
+    """
+    none = [np.zeros(0, np.int64)] * 4
+    held, waiting, rows, bucket = none, [], 0, None
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def settle() -> None:
+        nonlocal held, waiting, rows
+        t, e, d, s = (np.concatenate(x) for x in zip(held, *waiting, strict=True))
+        order = np.lexsort((s, d, e, t))
+        t, e, d, s = t[order], e[order], d[order], s[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (e[1:] != e[:-1])
+        later = d > d[np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))]
+        out.append((t[later], d[later], s[later], -(t[later] & 0xFFFFFFFF)))
+        held, waiting, rows = [x[~later] for x in (t, e, d, s)], [], 0
+
+    def finish() -> None:
+        """What is held is in the order of (trigger, entry); triggers of several entries and documents are to be compared."""
+        nonlocal held
+        if waiting:
+            settle()
+        t, e, d, s = held
         if len(t):
-            rows = np.arange(len(t))
-            new_t = np.ones(len(t), bool)
-            new_t[1:] = t[1:] != t[:-1]
-            new_e = new_t.copy()
-            new_e[1:] |= e[1:] != e[:-1]
-            goes_on = held["t"] is not None and t[0] == held["t"]
-            lead = d[np.maximum.accumulate(np.where(new_e, rows, 0))]
-            if goes_on and e[0] == held["e"]:
-                until = np.flatnonzero(new_e[1:])[0] + 1 if new_e[1:].any() else len(t)
-                lead[:until] = held["lead"]
-            hit = d > lead
-            heads = np.flatnonzero(new_t)
-            group = np.cumsum(new_t) - 1
-            kinds = np.add.reduceat(new_e.astype(np.int64), heads)
-            least, most = np.minimum.reduceat(d, heads), np.maximum.reduceat(d, heads)
-            if goes_on:
-                kinds[0] += held["kinds"] - (e[0] == held["e"])
-                least[0], most[0] = min(least[0], held["least"]), max(most[0], held["most"])
-            many = (kinds > 1) & (least < most)
-            out.append((t[hit], d[hit], s[hit], -n[hit]))
-            pend = held["pend"] if goes_on else []
-            if many[0]:
-                out.extend(pend)
-                pend = []
-            compare = many[group] & ~hit
-            out.append((t[compare], d[compare], s[compare], n[compare]))
-            if len(heads) > 1:
-                pend = []
-            if not many[-1]:
-                mine = (group == group[-1]) & ~hit
-                pend = [*pend, (t[mine], d[mine], s[mine], n[mine])]
-            held = {"t": t[-1], "e": e[-1], "lead": lead[-1], "kinds": kinds[-1], "least": least[-1], "most": most[-1], "pend": pend}
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["trigger", "doc_id", "start", "n"])
+            key = t >> 32
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(t))))
+            kinds = np.bincount(group[1:], (t[1:] != t[:-1]) | (e[1:] != e[:-1]), len(heads)) - np.append(0, np.ones(len(heads) - 1))
+            many = ((kinds > 0) & (np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)))[group]
+            out.append((key[many], d[many], s[many], t[many] & 0xFFFFFFFF))
+        held = none
+
+    def emit() -> pa.RecordBatch:
+        got = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(got, ["trigger", "doc_id", "start", "n"])
+
+    for batch in batches:
+        for own, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
+            if own != bucket:
+                finish()
+                bucket = own
+            got, _ = X.unpack(pack.as_py())
+            if own < 0:
+                doc, start, n = got
+                out.append((doc, doc, start, -n))
+                continue
+            waiting.append(got)
+            rows += len(got[0])
+            if rows >= SETTLE:
+                settle()
+        if out:
+            yield emit()
+    finish()
+    if out:
+        yield emit()
 
 
 def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -212,8 +242,9 @@ def _compare(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 def repeated_bytes(docs: DataFrame, scratch: Scratch, size: int = 50, k: int = 16) -> DataFrame:
     """Runs (doc_id, start, n) of n windows of ``size`` bytes that also start in a document of smaller doc_id."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    phrases = docs.mapInArrow(partial(_parse, size=size, k=k), _PHRASES)
-    placed = phrases.repartition("trigger").sortWithinPartitions("trigger", "entry", "doc_id")
+    buckets = max(1024, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packs = docs.mapInArrow(partial(_parse, size=size, k=k, buckets=buckets), _PACKS)
+    placed = packs.repartition("bucket").sortWithinPartitions("bucket")
     found = scratch.save(placed.mapInArrow(_entries, "trigger long, doc_id long, start long, n long"))
     wanted = found.where("n > 0").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "trigger")).alias("spans"))
     packed = docs.join(wanted, "doc_id").mapInArrow(partial(_bytes, size=size), "trigger long, doc_id long, start long, packed binary")

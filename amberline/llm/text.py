@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SLICE = 1 << 20
 
@@ -164,3 +165,16 @@ def sliding_max(h: np.ndarray, w: int) -> np.ndarray:
         out = np.maximum(out[:-k], out[k:])
         k *= 2
     return np.maximum(out[: len(out) - (w - k)], out[w - k :]) if w > k else out
+
+
+def pack(fields: list[np.ndarray], text: bytes = b"") -> bytes:
+    """Arrays of one length and a text, compressed."""
+    head = np.array([len(fields), len(fields[0])], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.astype(np.int64).tobytes() for x in fields) + text)
+
+
+def unpack(pack: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(pack)
+    k, n = np.frombuffer(raw, np.int64, 2)
+    fields = np.frombuffer(raw, np.int64, k * n, 16).reshape(k, n)
+    return list(fields), raw[16 + 8 * k * n :]
