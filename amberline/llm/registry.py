@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, lines, minhash, packing, substring, suffix
+from amberline.llm import decontaminate, lines, minhash, packing, substring, suffix, toxicity
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(docs, labels, Scratch(spark, "op7"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return minhash.near_duplicates(docs, Scratch(spark, "op8"), words=2, percent=80)
@@ -50,7 +55,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(docs, Scratch(spark, "op9"), kept=False).drop("kept")
 
 
-_QUERIES = [op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op8_minhash_near_dedup, op9_suffix_array_dedup]
+_QUERIES = [op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op7_toxicity, op8_minhash_near_dedup, op9_suffix_array_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
