@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, lines, minhash, packing, substring, suffix, toxicity
+from amberline.llm import decontaminate, lines, minhash, packing, substring, suffix, tokencount, toxicity
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
@@ -55,7 +55,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(docs, Scratch(spark, "op9"), kept=False).drop("kept")
 
 
-_QUERIES = [op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op7_toxicity, op8_minhash_near_dedup, op9_suffix_array_dedup]
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tokencount.token_counts(docs, tokencount.unigram_vocabulary(vocabulary("piece_bpe_32k.model")))
+
+
+_QUERIES = [op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op7_toxicity, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
