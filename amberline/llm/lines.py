@@ -37,10 +37,13 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 def _shingle_hashes(k: int) -> Column:
     """The distinct shingle hashes of column ``line`` as an array."""
-    unit = F.encode("line", "UTF-16BE")
-    count = F.greatest(F.octet_length(unit) / 2 - k, F.lit(0)).cast("int")
-    each = F.transform(F.sequence(F.lit(0), count), lambda i: F.xxhash64(F.substring(unit, 2 * i + 1, F.lit(2 * k))))
-    return F.array_distinct(each)
+
+    def hashes(unit: Column) -> Column:
+        last = F.greatest(F.octet_length(unit) / 2 - k, F.lit(0)).cast("int")
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(unit, 2 * i + 1, F.lit(2 * k)))))
+
+    # the outer transform binds the encoded line, which is else encoded anew for each shingle
+    return F.transform(F.array(F.encode("line", "UTF-16BE")), hashes)[0]
 
 
 def fuzzy_lines(docs: DataFrame, scratch: Scratch, k: int = 8, percent: int = 80) -> DataFrame:
