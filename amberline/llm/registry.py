@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, lines, minhash, packing, substring, suffix, tokencount, toxicity
+from amberline.llm import decontaminate, embeddings, lines, minhash, packing, substring, suffix, tokencount, toxicity
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
@@ -22,6 +22,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, Scratch(spark, "op8"), words=2, percent=80)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op1"), 0.9)
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, tokencount.unigram_vocabulary(vocabulary("piece_bpe_32k.model")))
 
 
-_QUERIES = [op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op7_toxicity, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_counts]
+_QUERIES = [op1_embedding_near_dedup, op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op7_toxicity, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,21 @@ _REACH = """
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SQL = {
+    "op1_embedding_near_dedup": f"""
+WITH RECURSIVE e AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  ),
+  links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.9
+  ),
+  vertices AS (SELECT vec_id AS v FROM embeddings), {_REACH},
+  n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v AS vec_id, coalesce(n, 0) AS n_links, component_id, v = component_id AS kept
+FROM component LEFT JOIN n ON a = v
+""",
     "op4_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
   b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
