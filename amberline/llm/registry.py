@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, embeddings, lines, minhash, packing, substring, suffix, tokencount, toxicity
+from amberline.llm import decontaminate, embeddings, lines, minhash, packing, substring, suffix, tokencount, toolcalls, toxicity
 from amberline.llm.scratch import Scratch
 from amberline.llm.sql import SQL
 
@@ -38,6 +38,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, Scratch(spark, "op2"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.conversation_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return toolcalls.link(calls, results, toolcalls.REPLY, Scratch(spark, "op3"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs, items).drop("spans", "items")
@@ -64,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, tokencount.unigram_vocabulary(vocabulary("piece_bpe_32k.model")))
 
 
-_QUERIES = [op1_embedding_near_dedup, op2_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op7_toxicity, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_counts]
+_QUERIES = [op1_embedding_near_dedup, op2_best_fit_packing, op3_tool_call_linking, op4_benchmark_decontamination, op5_line_dedup, op6_substring_dedup, op7_toxicity, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

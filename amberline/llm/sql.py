@@ -16,6 +16,30 @@ _REACH = """
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SQL = {
+    "op3_tool_call_linking": """
+WITH RECURSIVE c AS (
+    SELECT conv_id, turn, conv_id || ':' || turn AS call_id, conv_id || ':' || (turn - 2) AS dep, coalesce(text, '') AS t, count(*) AS n_calls
+    FROM conversations WHERE role = 'user' GROUP BY ALL
+  ),
+  r AS (
+    SELECT conv_id, min(turn) AS turn, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
+    FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+  ),
+  lv(call_id, level) AS (
+    SELECT call_id, 0 FROM c WHERE dep NOT IN (SELECT call_id FROM c)
+    UNION ALL
+    SELECT c.call_id, level + 1 FROM lv JOIN c ON c.dep = lv.call_id
+  )
+SELECT c.conv_id, c.turn, c.call_id, n_calls, coalesce(n_results, 0) AS n_results,
+  (dep NOT IN (SELECT call_id FROM c))::BIGINT AS n_missing, level::INTEGER AS level,
+  CASE WHEN length(t) < 20 THEN 'invalid' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN length(t) < 20 THEN '$.prompt: too short' ELSE '' END AS errors,
+  '{"arguments":{"prompt":' || to_json(t)::VARCHAR || ',"turn":' || c.turn || '},"depends_on":["' || dep || '"],"id":"' || c.call_id
+    || '","level":' || level || ',"name":"reply","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
+FROM c JOIN lv USING (call_id) LEFT JOIN r USING (call_id)
+UNION ALL
+SELECT conv_id, turn, call_id, 0, n_results, 0, NULL, 'orphan', '', NULL FROM r WHERE call_id NOT IN (SELECT call_id FROM c)
+""",
     "op1_embedding_near_dedup": f"""
 WITH RECURSIVE e AS (
     SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
