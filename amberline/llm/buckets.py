@@ -11,8 +11,8 @@ from amberline.llm.components import components
 from amberline.llm.scratch import Scratch
 
 
-#: Members of a bucket's largest component that the others are held against at a time, and how often at most.
-PIVOTS, ROUNDS = 6, 4
+#: Members of a bucket's largest component that the others are held against at a time, and how often.
+PIVOTS, ROUNDS = 8, 1
 
 
 def lanes_differ(a: Column, b: Column, bits: int) -> Column:
@@ -39,13 +39,13 @@ def link_buckets(
     of longs without repeats, of each v wanted; asked for once a vertex.
     Sets link when 100 * intersection >= percent * union.
 
-    First every member of a bucket is held against the bucket's least member. Then,
-    while links are found, members outside the bucket's largest component are held
-    against ``PIVOTS`` of its members, drawn by hash. Only what is then still apart is
-    held against the rest of its bucket, pairs of one component never, and of the pairs
-    met only those with close signatures and sizes are made. So a large group of near
-    copies costs rows in proportion to its size, and no candidate pair between
-    components goes untested.
+    First every member of a bucket is held against the bucket's least member. Then
+    members outside the bucket's largest component are held against ``PIVOTS`` of its
+    members, drawn by hash. Of components that then still meet in a bucket all members
+    are held against each other, each pair once and made only if signatures and sizes
+    are close; pairs within a component never are. So a large group of near copies
+    costs rows in proportion to its size, and no candidate pair between components
+    goes untested.
     """
     leads = keyed.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
     members = scratch.save(keyed.join(leads, "key"))
@@ -60,11 +60,8 @@ def link_buckets(
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
         for had in sets:
             wanted = wanted.join(had.select("v"), "v", "left_anti")
-        wanted = scratch.save(wanted)
-        if not wanted.isEmpty():
+        if not sets or not (wanted := scratch.save(wanted)).isEmpty():
             sets.append(scratch.save(sets_of(wanted)))
-        if not sets:
-            return pairs
         known = sets[0]
         for had in sets[1:]:
             known = known.unionAll(had)
@@ -94,11 +91,16 @@ def link_buckets(
         links = links.unionAll(more)
         comp = components(links, scratch)
         named = divided(comp)
-    apart = named.where("c <> main")
-    left = apart.select("key", F.col("v").alias("a"), F.col("c").alias("ca")).join(side("a"), "a")
-    right = named.select(F.col("key").alias("k2"), F.col("v").alias("b"), F.col("c").alias("cb"), "main").join(side("b"), "b")
-    met = (F.col("key") == F.col("k2")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & near
-    pairs = left.join(right, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # components that still meet in a bucket, each pair once, the smaller one's members sent to the larger one
+    kinds = named.select("key", "c").distinct()
+    meet = kinds.join(kinds.select("key", F.col("c").alias("d")), "key").where("c < d").select("c", "d").distinct()
+    own = members.select("v").distinct().join(comp.select("v", F.col("component").alias("c")), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
+    sizes = own.groupBy("c").agg(F.count("*").alias("n"))
+    meet = meet.join(sizes.withColumnRenamed("n", "cn"), "c").join(sizes.select(F.col("c").alias("d"), F.col("n").alias("dn")), "d")
+    meet = meet.select(F.when(F.col("cn") <= F.col("dn"), F.col("c")).otherwise(F.col("d")).alias("small"), F.when(F.col("cn") <= F.col("dn"), F.col("d")).otherwise(F.col("c")).alias("large"))
+    left = meet.join(own.select(F.col("c").alias("small"), F.col("v").alias("a")), "small").join(side("a"), "a")
+    right = own.select(F.col("c").alias("of"), F.col("v").alias("b")).join(side("b"), "b")
+    pairs = left.join(right, (F.col("large") == F.col("of")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = scratch.save(confirm(pairs))
     if more.isEmpty():
         return comp
