@@ -27,7 +27,7 @@ from amberline.llm import text as X
 from amberline.llm.scratch import Scratch
 
 #: Texts of a map task that are combined together, in bytes.
-COMBINE = 4 << 20
+COMBINE = 2 << 20
 _PACKS = "bucket int, pack binary"
 
 

@@ -33,8 +33,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base**i (or its inverse) modulo 2**64 for i < n, kept between calls."""
     key = (base, inverse)
     if len(_powers.get(key, ())) < n:
-        size = 1 << max(16, n - 1).bit_length() if n > 1 else 2
-        size = max(size, n)
+        size = max(n + n // 8, 1 << 16)
         step = pow(base, -1, 1 << 64) if inverse else base
         out = np.full(size, step, np.uint64)
         out[0] = 1
