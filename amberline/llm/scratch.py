@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds that a write takes which may leave shuffle files worth freeing at once.
+LONG = 5.0
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder, from the session; a local session without one gets its own."""
@@ -41,8 +44,10 @@ class Scratch:
         """``df`` written once and read again."""
         path = f"{self.base}/{self.count}"
         self.count += 1
+        began = time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
-        for _ in range(2):  # lets the cleaner free the shuffles behind it; events of the write may hold them a moment
+        # lets the cleaner free large shuffles behind it; events of the write may hold them a moment
+        for _ in range(2 * (time.monotonic() - began > LONG)):
             time.sleep(0.1)
             self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
