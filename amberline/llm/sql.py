@@ -77,6 +77,27 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM docum
 SELECT d.doc_id, len(w) AS n_words, coalesce(gone.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(gone.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op5_line_dedup": f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
+  ),
+  l AS (SELECT * FROM split WHERE trim(regexp_replace(line, '[\\t\\r]', ' ', 'g')) <> ''),
+  d AS (SELECT row_number() OVER (ORDER BY spot) AS v, line, spot FROM (SELECT line, min((doc_id, pos)) AS spot FROM l GROUP BY line)),
+  g AS (
+    SELECT v, unnest(list_distinct(list_transform(range(1, greatest(length(line) - 7, 1) + 1), lambda i: line[i:i + 7]))) AS g FROM d
+  ),
+  n AS (SELECT v, count(*) AS n FROM g GROUP BY v),
+  shared AS (SELECT x.v AS a, y.v AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.v < y.v GROUP BY ALL),
+  one AS (SELECT a, b FROM shared JOIN n p ON p.v = a JOIN n q ON q.v = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+  links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+  vertices AS (SELECT v FROM d), {_REACH},
+  keep AS (SELECT d.line, k.spot FROM d JOIN component USING (v) JOIN d k ON k.v = component_id),
+  gone AS (SELECT doc_id, list(pos) AS spot, count(*) AS n FROM l JOIN keep USING (line) WHERE (doc_id, pos) <> spot GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(n, 0) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN coalesce(text, '') ELSE coalesce(array_to_string(list_transform(
+    list_filter(range(len(string_split(text, chr(10)))), lambda i: NOT list_contains(spot, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)), '') END) AS kept_sha256
+FROM documents LEFT JOIN gone USING (doc_id)
 """,
     "op6_substring_dedup": f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
