@@ -47,12 +47,12 @@ def _span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
 
 
 def _parse(batches: Iterator[pa.RecordBatch], size: int, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs of phrases (trigger and number of windows, entry, doc id, start), a bucket of triggers each.
+    """Packs of phrases (trigger and number of windows, entry, doc id, start, mark), a bucket of triggers each.
 
-    Bucket < 0: runs (doc id, start, windows) that are known to repeat a smaller document's.
+    Bucket < 0: runs (doc id, start, mark, windows) that are known to repeat a smaller document's.
     """
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, marks = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "mark"))
         for a, b, data, off in X.slices(batch.column("text"), COMBINE):
             if len(data) < size:
                 continue
@@ -87,15 +87,15 @@ def _parse(batches: Iterator[pa.RecordBatch], size: int, k: int, buckets: int) -
             at = np.flatnonzero(head)
             until = end[np.append(at[1:], len(begin)) - 1]
             n, known, trigger, entry, doc = until - begin[at], known[at], trigger[at], entry[at], doc[at]
-            start = begin[at] - off[row[at]]
+            start, mark = begin[at] - off[row[at]], marks[a:b][row[at]]
             own, packs = [], []
             if known.any():
                 own.append(-1 - X.mix_int(int(ids[a])) % buckets)
-                packs.append(X.pack([x[known] for x in (doc, start, n)]))
+                packs.append(X.pack([x[known] for x in (doc, start, mark, n)]))
             bucket = (trigger % np.uint64(buckets)).astype(np.int64)
             bucket[known] = -1
             order = np.argsort(bucket, kind="stable")[np.count_nonzero(known) :]
-            fields = [((trigger >> np.uint64(32) << np.uint64(32)) | n.astype(np.uint64)).view(np.int64)[order], entry.view(np.int64)[order], doc[order], start[order]]
+            fields = [((trigger >> np.uint64(32) << np.uint64(32)) | n.astype(np.uint64)).view(np.int64)[order], entry.view(np.int64)[order], doc[order], start[order], mark[order]]
             bucket = bucket[order]
             if len(bucket):
                 edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
@@ -110,40 +110,42 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Of each entry only the occurrences in its first document so far are held, so packs
     come in any order and memory follows the bucket's dictionary.
     """
-    none = [np.zeros(0, np.int64)] * 4
+    none = [np.zeros(0, np.int64)] * 5
     held, waiting, rows, bucket = none, [], 0, None
     out: list[tuple[np.ndarray, ...]] = []
 
     def settle() -> None:
         nonlocal held, waiting, rows
-        t, e, d, s = (np.concatenate(x) for x in zip(held, *waiting, strict=True))
-        order = np.lexsort((s, d, e, t))
-        t, e, d, s = t[order], e[order], d[order], s[order]
+        t, e, d, s, m = (np.concatenate(x) for x in zip(held, *waiting, strict=True))
+        order = np.lexsort((m, s, d, e, t))
+        t, e, d, s, m = (x[order] for x in (t, e, d, s, m))
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (e[1:] != e[:-1])
         later = d > d[np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))]
-        out.append((t[later], d[later], s[later], -(t[later] & 0xFFFFFFFF)))
-        held, waiting, rows = [x[~later] for x in (t, e, d, s)], [], 0
+        out.append((t[later], d[later], m[later], s[later], -(t[later] & 0xFFFFFFFF)))
+        more = new | later  # phrases of a row that stands several times are held once
+        more[1:] |= (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1])
+        held, waiting, rows = [x[more & ~later] for x in (t, e, d, s, m)], [], 0
 
     def finish() -> None:
         """What is held is in the order of (trigger, entry); triggers of several entries and documents are to be compared."""
         nonlocal held
         if waiting:
             settle()
-        t, e, d, s = held
+        t, e, d, s, m = held
         if len(t):
             key = t >> 32
             heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(t))))
             kinds = np.bincount(group[1:], (t[1:] != t[:-1]) | (e[1:] != e[:-1]), len(heads)) - np.append(0, np.ones(len(heads) - 1))
             many = ((kinds > 0) & (np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)))[group]
-            out.append((key[many], d[many], s[many], t[many] & 0xFFFFFFFF))
+            out.append((key[many], d[many], m[many], s[many], t[many] & 0xFFFFFFFF))
         held = none
 
     def emit() -> pa.RecordBatch:
         got = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
         out.clear()
-        return pa.RecordBatch.from_arrays(got, ["trigger", "doc_id", "start", "n"])
+        return pa.RecordBatch.from_arrays(got, ["trigger", "doc_id", "mark", "start", "n"])
 
     for batch in batches:
         for own, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
@@ -152,8 +154,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bucket = own
             got, _ = X.unpack(pack.as_py())
             if own < 0:
-                doc, start, n = got
-                out.append((doc, doc, start, -n))
+                doc, start, mark, n = got
+                out.append((doc, doc, mark, start, -n))
                 continue
             waiting.append(got)
             rows += len(got[0])
@@ -176,7 +178,7 @@ def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
 def _bytes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the entries to compare."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, marks = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "mark"))
         at, (start, n, trigger) = _spans(batch)
         for a, b, data, off in X.slices(batch.column("text")):
             own = slice(at[a], at[b])
@@ -185,8 +187,8 @@ def _bytes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             packed = data[X.spread(off[row] + start[own], count)]
             ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(trigger[own]), pa.array(ids[a:b][row]), pa.array(start[own]), pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])],
-                ["trigger", "doc_id", "start", "packed"],
+                [pa.array(trigger[own]), pa.array(ids[a:b][row]), pa.array(marks[a:b][row]), pa.array(start[own]), pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])],
+                ["trigger", "doc_id", "mark", "start", "packed"],
             )
 
 
@@ -208,11 +210,11 @@ def _order(data: np.ndarray, at: np.ndarray, size: int, first: np.ndarray) -> tu
 
 
 def _compare(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows (doc_id, start, n) from entries in the order of (trigger, doc_id, start)."""
+    """Repeated windows (doc_id, mark, start, n) from entries in the order of (trigger, doc_id, start)."""
     open_t, seen = None, {}
     for batch in batches:
-        trigger, doc, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        out = [(doc[:0], start[:0], start[:0])]
+        trigger, doc, mark, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        out = [(doc[:0], mark[:0], start[:0], start[:0])]
         for a, b, data, off in X.slices(batch.column("packed"), 256 << 10):
             n = np.diff(off) - size + 1
             row = np.repeat(np.arange(b - a), n)
@@ -235,22 +237,25 @@ def _compare(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
                 brk[1:] = (got[1:] != got[:-1] + 1) | (row[got][1:] != row[got][:-1])
                 head = np.flatnonzero(brk)
                 r = row[got[head]]
-                out.append((doc[a:b][r], start[a:b][r] + at[got[head]] - off[r], np.diff(np.append(head, len(got)))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["doc_id", "start", "n"])
+                out.append((doc[a:b][r], mark[a:b][r], start[a:b][r] + at[got[head]] - off[r], np.diff(np.append(head, len(got)))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["doc_id", "mark", "start", "n"])
 
 
 def repeated_bytes(docs: DataFrame, scratch: Scratch, size: int = 50, k: int = 16) -> DataFrame:
-    """Runs (doc_id, start, n) of n windows of ``size`` bytes that also start in a document of smaller doc_id."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    """Runs (doc_id, mark, start, n) of n windows of ``size`` bytes that also start in a document of smaller doc_id.
+
+    A run belongs to the rows of that doc_id and text (``mark`` is its hash).
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
     buckets = max(1024, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packs = docs.mapInArrow(partial(_parse, size=size, k=k, buckets=buckets), _PACKS)
     placed = packs.repartition("bucket").sortWithinPartitions("bucket")
-    found = scratch.save(placed.mapInArrow(_entries, "trigger long, doc_id long, start long, n long"))
-    wanted = found.where("n > 0").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "trigger")).alias("spans"))
-    packed = docs.join(wanted, "doc_id").mapInArrow(partial(_bytes, size=size), "trigger long, doc_id long, start long, packed binary")
+    found = scratch.save(placed.mapInArrow(_entries, "trigger long, doc_id long, mark long, start long, n long"))
+    wanted = found.where("n > 0").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "n", "trigger")).alias("spans"))
+    packed = docs.join(wanted, ["doc_id", "mark"]).mapInArrow(partial(_bytes, size=size), "trigger long, doc_id long, mark long, start long, packed binary")
     placed = packed.repartition("trigger").sortWithinPartitions("trigger", "doc_id", "start")
-    more = scratch.save(placed.mapInArrow(partial(_compare, size=size), "doc_id long, start long, n long"))
-    return found.where("n < 0").select("doc_id", "start", (-F.col("n")).alias("n")).unionAll(more)
+    more = scratch.save(placed.mapInArrow(partial(_compare, size=size), "doc_id long, mark long, start long, n long"))
+    return found.where("n < 0").select("doc_id", "mark", "start", (-F.col("n")).alias("n")).unionAll(more)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int, kept: bool) -> Iterator[pa.RecordBatch]:
@@ -283,10 +288,9 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, size: int = 50, k: int = 16,
     ``kept`` holds the bytes that stay (null unless ``kept``); a cut may fall inside a
     character, hence bytes. Null texts are empty; texts shorter than ``size`` and rows
     without doc_id lose nothing. Rows that share a doc_id count as one document: they
-    never repeat each other, and what one of them loses by other documents is cut at
-    the same places of all of them.
+    never repeat each other, and each loses what its own text repeats of other documents.
     """
     runs = repeated_bytes(docs, scratch, size, k)
-    spans = runs.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    both = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    spans = runs.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    both = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).join(spans, ["doc_id", "mark"], "left")
     return both.mapInArrow(partial(_cut, size=size, kept=kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -113,6 +113,34 @@ def test_suffix_against_brute_force(spark, scratch, docs):
     assert suffix.suffix_dedup(docs, scratch).count() == docs.count()
 
 
+def test_rows_that_share_a_doc_id(spark, scratch):
+    """A row twice over stays in both copies; of two texts with one doc_id each loses its own repeats only."""
+    word = lambda p, n: [f"{p}{i}" for i in range(n)]
+    rows = [(1, word("a", 40)), (1, word("a", 40)), (2, word("b", 5) + word("a", 30)), (3, word("c", 25)), (3, word("d", 60) + word("a", 25)), (4, word("e", 90)), (5, word("f", 30) + word("e", 20))] + [(5, word("g", 22))] * 2
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    windows = [(tuple(w[s : s + 20]), (i, s)) for i, w in rows for s in range(len(w) - 19)]
+    low = {g: min(p for h, p in windows if h == g) for g, _ in windows}
+    want = []
+    for i, w in rows:
+        gone = {j for s in range(len(w) - 19) if low[tuple(w[s : s + 20])] < (i, s) for j in range(s, s + 20)}
+        want.append((i, len(w), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    for parts in (1, 9):
+        got = substring.substring_dedup(df.repartition(parts), scratch, 20).collect()
+        assert sorted((r.doc_id, r.n_words, r.kept) for r in got) == sorted(want)
+    texts = [(i, " ".join(w).encode()) for i, w in rows]
+    first = {}
+    for i, b in texts:
+        for s in range(len(b) - 49):
+            first[b[s : s + 50]] = min(i, first.get(b[s : s + 50], i))
+    want = []
+    for i, b in texts:
+        gone = {j for s in range(len(b) - 49) if first[b[s : s + 50]] < i for j in range(s, s + 50)}
+        want.append((i, bytes(x for j, x in enumerate(b) if j not in gone)))
+    for parts in (1, 9):
+        got = suffix.suffix_dedup(df.repartition(parts), scratch, 50).collect()
+        assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted(want)
+
+
 def test_lines_against_brute_force(spark, scratch, docs):
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     k, own = 8, []
