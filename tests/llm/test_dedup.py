@@ -161,6 +161,21 @@ def test_lines_against_brute_force(spark, scratch, docs):
     assert lines.line_dedup(docs, scratch).count() == docs.count()
 
 
+def test_lines_at_the_limit_meet(spark):
+    """Pairs of sets of 5 to 50 shingles at similarity 0.8: the share that no band meets or that differs too much."""
+    from pyspark.sql import functions as F
+
+    pairs = 20_000
+    for union in (5, 10, 20, 50):
+        own = union // 10 if union > 5 else 1  # what only one of the two has; of 5 all is one's
+        each = spark.range(pairs * union, numPartitions=4).select(F.floor(F.col("id") / union).alias("pair"), (F.col("id") % union).alias("i"), F.xxhash64("id", F.lit(union)).alias("h"))
+        sides = [each.where(F.col("i") >= (own if union > 5 else 0)), each.where(F.col("i") < union - own)]
+        a, b = (lines.signatures(x.select(F.col("pair").alias("v"), "h")).select("v", F.col("sig").alias(f"s{i}"), F.col("keys").alias(f"k{i}")) for i, x in enumerate(sides))
+        meets = F.exists(F.zip_with("k0", "k1", lambda x, y: x == y), lambda x: x)
+        found = a.join(b, "v").where(meets & lines.close("s0", "s1")).count()
+        assert pairs - found <= 1e-3 * pairs, (union, pairs - found)
+
+
 def test_line_dedup_has_no_python_on_its_way(spark, scratch, docs):
     plan = lines.line_dedup(docs, scratch)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
