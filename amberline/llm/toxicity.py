@@ -66,7 +66,7 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: i
 
 
 def features(data: np.ndarray, off: np.ndarray, lexicon: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """A row of features for each row of bytes. lexicon: (sorted hashes, weights) for each kind."""
+    """A row of features for each row of bytes, of that row alone. lexicon: (sorted hashes, weights) for each kind."""
     rows = len(off) - 1
     out = np.zeros((rows, len(FEATURES)))
     if not len(data):
@@ -90,7 +90,8 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: list[tuple[np.ndarray,
         hit |= got
         w = np.where(got, weights[at] if len(weights) else 0.0, 0.0)
         learned += [per(got) / words, np.log1p(per(got)), per(w) / np.sqrt(words)]
-    near = np.convolve(second, np.ones(11), "same") > 0 if len(second) > 11 else np.full(len(second), second.any())
+    seen, i = np.concatenate([[0], np.cumsum(second)]), np.arange(len(second))
+    near = seen[np.minimum(i + 6, first[1:][row])] > seen[np.maximum(i - 5, first[:-1][row])]  # five words to each side, of this text only
     upper = (data >= 0x41) & (data <= 0x5A)
     letters = _LETTERS[low]
     up = np.concatenate([[0], np.cumsum(upper)])
@@ -102,6 +103,9 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: list[tuple[np.ndarray,
     inner[1:-1] = odd[1:-1] & letters[:-2] & letters[2:]
     runs = np.zeros(len(data), bool)  # the third of three equal letters
     runs[2:] = letters[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
+    head, tail = off[off < len(data)], off[off > 0] - 1  # of each text; neither looks beyond them
+    inner[head] = inner[tail] = runs[head] = False
+    runs[head[head + 1 < len(data)] + 1] = False
     columns += [per(hit & near) / words, total(upper) / size, per(shouted) / words, total(data == 0x21) / size, total(marks) / size, total(digit) / size, total(inner) / words, total(runs) / words]
     out[:] = np.stack([*columns, *learned], 1)
     return out

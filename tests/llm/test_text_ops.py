@@ -137,6 +137,15 @@ def test_toxicity_learns_and_scores_all(spark, scratch, docs):
     assert toxicity.toxicity(docs.limit(0), labels, scratch).count() == 0
 
 
+def test_toxicity_features_are_of_the_text_alone():
+    texts = ["you are here", "idiot", "tree " * 14 + "idiot", "you", "", "no idiot no", "aa", "ab", "x", "xx 1", "a", "1", "b", "a@", "b", "tree " * 5 + "you " + "tree " * 4 + "idiot x", "idiot " + "x " * 5 + "you"]
+    lexicon = [(np.zeros(0, np.uint64), np.zeros(0))] * len(toxicity.KINDS)
+    of = lambda t: toxicity.features(*X.rows_of(pa.array(t)), lexicon)
+    assert (of(texts) == np.concatenate([of([t]) for t in texts])).all()
+    near = toxicity.FEATURES.index("near_second")
+    assert (of(texts)[:, near] > 0).nonzero()[0].tolist() == [15]  # five words to each side, not six
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(2)
     s = rng.standard_normal(300)
