@@ -1,7 +1,7 @@
 """Tool-call linking for chat formatting (operator 3).
 
 Calls and results are hash-joined by identifier, calls are ordered topologically by
-their dependencies (in rounds of joins, one for each level), arguments are validated
+their dependencies (chains by pointer doubling, see ``levels``), arguments are validated
 against schemas, and each call is serialised with its result as canonical JSON (keys
 sorted, no spaces, UTF-8 kept). Nothing is gathered by conversation, so one conversation
 may hold any share of the rows.
@@ -76,17 +76,49 @@ def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> I
 
 
 def levels(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(call_id, level): 0 for calls that wait for none, else 1 more than the deepest they wait for; calls on or behind a cycle are left out."""
-    pend = scratch.save(edges.select("call_id", "dep").distinct())
-    ready = calls.select("call_id").join(pend.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(0))
-    done = ready = scratch.save(ready)
-    depth = 0
-    while not ready.isEmpty():
-        depth += 1
-        left = scratch.save(pend.join(ready.select(F.col("call_id").alias("dep")), "dep", "left_anti").select("call_id", "dep"))
-        ready = scratch.save(pend.select("call_id").distinct().join(left.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(depth)))
-        done, pend = done.unionAll(ready), left
-    return done
+    """(call_id, level): 0 for calls that wait for none, else 1 more than the deepest they wait for; calls on or behind a cycle are left out.
+
+    A call that waits for at most one other has the level max(base, level of ``to`` + w).
+    Such functions compose, so a chain of them is resolved by pointer doubling, in log2
+    of its length rounds. Calls that wait for several are then rewritten to wait for the
+    ends of their chains, and the next pass takes those that are left with one or none:
+    passes grow only with how deep calls that still wait for several lie behind each other.
+    """
+    nodes = calls.select("call_id", F.lit(0).cast("long").alias("base"))
+    edges = edges.select("call_id", "dep", F.lit(1).cast("long").alias("w"))
+    done, several = None, None
+    while True:
+        waits = edges.groupBy("call_id").agg(F.count("*").alias("k"), F.min("dep").alias("to"), F.max("w").alias("w"))
+        state = scratch.save(nodes.join(waits, "call_id", "left").withColumn("k", F.coalesce("k", F.lit(0))))
+        chains = state.where("k < 2").select("call_id", "to", F.coalesce("w", F.lit(0)).alias("w"), "base", F.expr("k = 0").alias("ended"))
+        chains = scratch.save(chains)
+        reach, most = 1, chains.count()
+        while reach < 2 * most and not chains.where("not ended").isEmpty():  # what has not ended by then is on or behind a cycle
+            via = chains.select(F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("w").alias("w2"), F.col("base").alias("base2"), F.col("ended").alias("ended2"))
+            step = chains.where("not ended").join(via, "to", "left")
+            step = step.select(
+                "call_id", F.expr("if(ended2 is null, to, to2)").alias("to"), F.expr("w + coalesce(w2, 0)").alias("w"),
+                F.expr("greatest(base, w + base2)").alias("base"), F.coalesce("ended2", F.lit(True)).alias("ended"),
+            )
+            chains, old = scratch.save(chains.where("ended").unionAll(step)), chains
+            scratch.drop(old)
+            reach *= 2
+        got = chains.where("ended and to is null").select("call_id", F.col("base").cast("int").alias("level"))
+        done = got if done is None else done.unionAll(got)
+        left = state.where("k > 1").count()
+        if not left or left == several:  # without a cycle behind it, some call of each pass gets its level
+            return done
+        several = left
+        # calls behind those with several wait on; edges to calls with a level go into the base
+        held = chains.where("ended and to is not null")
+        ends = chains.where("ended").select(F.col("call_id").alias("dep"), "to", F.col("w").alias("w2"), F.col("base").alias("base2"), F.lit(True).alias("known"))
+        moved = edges.join(state.where("k > 1").select("call_id"), "call_id", "left_semi").join(ends, "dep", "left")
+        moved = scratch.save(moved.select("call_id", F.expr("if(known, to, dep)").alias("dep"), F.expr("w + coalesce(w2, 0)").alias("w"), F.expr("w + base2").alias("least")))
+        least = moved.groupBy("call_id").agg(F.max("least").alias("least"))
+        nodes = state.where("k > 1").select("call_id", "base").join(least, "call_id").select("call_id", F.greatest("base", "least").alias("base"))
+        nodes = nodes.unionAll(held.select("call_id", "base"))
+        edges = moved.where("dep is not null").groupBy("call_id", "dep").agg(F.max("w").alias("w")).unionAll(held.select("call_id", F.col("to").alias("dep"), "w"))
+        edges = scratch.save(edges)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], scratch: Scratch) -> DataFrame:
@@ -137,7 +169,8 @@ def conversation_calls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user's turn calls the tool ``reply`` and waits for the user's turn two before; an
     assistant's turn is the result of the call of the turn before it. Rows of null
-    conv_id or turn are ignored.
+    conv_id or turn are ignored; turns of other roles (system) are neither a call nor a
+    result and give no row.
     """
     rows = rows.where("conv_id is not null and turn is not null")
     name = lambda back: F.concat_ws(":", "conv_id", F.col("turn") - back)

@@ -91,6 +91,29 @@ def test_tool_calls(spark, scratch):
     assert toolcalls.link(calls.limit(0), results.limit(0), schemas, scratch).count() == 0
 
 
+def test_levels_of_long_chains_and_graphs(spark, scratch):
+    n = 40
+    waits = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(n)}
+    rng = random.Random(3)
+    graph = {f"g{i}": sorted({f"g{rng.randrange(i)}" for _ in range(rng.randrange(3))}) if i else [] for i in range(25)}
+    ring = {"r0": ["r2"], "r1": ["r0", "g1"], "r2": ["r1"], "behind": ["r0"], "both": ["behind", "g3"], "self": ["self"]}
+
+    def found(waits):
+        before = scratch.count
+        calls = spark.createDataFrame([(c,) for c in waits], "call_id string")
+        edges = spark.createDataFrame([(c, d) for c, ds in waits.items() for d in ds], "call_id string, dep string")
+        got = toolcalls.levels(calls, edges, scratch).collect()
+        return {r.call_id: r.level for r in got}, len(got), scratch.count - before
+
+    got, rows, saved = found(waits)
+    assert got == {f"c{i}": i for i in range(n)} and rows == n and saved < 12  # rounds are log2 of the depth
+    want = {}
+    for c, ds in graph.items():
+        want[c] = max((want[d] + 1 for d in ds), default=0)
+    got, rows, _ = found(graph | ring)
+    assert got == want and rows == len(want)
+
+
 def test_decontamination_against_brute_force(spark, docs):
     items = [(1, " ".join(f"Shared{i}" for i in range(5, 30))), (2, "one two"), (3, BASE[50:200]), (4, "..."), (5, None), (6, "日本語"), (11, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
