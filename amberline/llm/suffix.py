@@ -1,4 +1,7 @@
-"""Removal of byte strings that other documents hold, by prefix-free parsing (operator 9).
+"""Removal of byte strings that other documents hold, by minimiser partitions and exact comparison (operator 9).
+
+Both suffix arrays of the dealt method, of the dictionary and of the parse, are replaced:
+only windows of one fixed length W are asked for, so it is enough that equal windows meet.
 
 Parsing. A rolling hash runs over every text; in each window of W bytes the least hash
 of its K-byte strings is the trigger, and consecutive windows with one trigger are a
@@ -10,10 +13,11 @@ occurrence outside its first document is removed entirely, without looking insid
 highly repetitive text that is nearly all of it. Only first occurrences whose trigger
 other entries share are compared further.
 
-Order. Those entries travel with their bytes to their trigger's bucket, where the
-suffixes that begin windows are sorted in byte order (the suffix array of the
-dictionary, to depth W); equal neighbours are equal windows, and the parse (doc_id,
-start) gives the order among them, which settles the corpus order of repeats.
+Comparison. Those entries travel with their bytes to their trigger's bucket. Within
+slices of 256 KB the windows are sorted in byte order and equal neighbours are equal
+windows; across slices a dictionary of the windows' bytes decides. Nothing is sorted
+over the whole dictionary, and no corpus order is combined from a parse: the first
+document of a window is that of least doc_id. A trigger is one group in one task.
 """
 
 from __future__ import annotations
