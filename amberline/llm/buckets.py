@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from amberline.llm.components import components
 from amberline.llm.scratch import Scratch
 
-
-#: Members of a bucket's largest component that the others are held against at a time, and how often.
-PIVOTS, ROUNDS = 8, 1
+#: Members of a bucket's largest component that the others are held against in a round, and how often at most.
+PIVOTS, ROUNDS = 8, 3
+#: Counters of how common items are, by hash: the bytes of the one row that is broadcast.
+SLOTS = 1 << 18
 
 
 def lanes_differ(a: Column, b: Column, bits: int) -> Column:
@@ -23,85 +24,95 @@ def lanes_differ(a: Column, b: Column, bits: int) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001 if bits == 16 else 0x0101010101010101)))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def link_buckets(
     keyed: DataFrame,
-    sigs: DataFrame,
+    nodes_of: Callable[[DataFrame], DataFrame],
+    as_set: Callable[[Column], Column],
     close: Callable[[str, str], Column],
-    sets_of: Callable[[DataFrame], DataFrame],
     percent: int,
     scratch: Scratch,
-    sized: bool = True,
 ) -> DataFrame:
     """(v, component) of all links among vertices that share a key; only vertices that are not the least.
 
-    keyed: (key, v). sigs: (v, n, sig), n the set's size (held against each other if ``sized``). close: whether the signatures
-    in two named columns are near enough. sets_of: (v, s) with the whole set s, an array
-    of longs without repeats, of each v wanted; asked for once a vertex.
+    keyed: (key, v). nodes_of: (v, sig, x), a signature and the content of each v wanted, asked for once.
+    as_set: the whole set of a content as an array of longs without repeats. close: whether the
+    signatures in two named columns are near enough.
     Sets link when 100 * intersection >= percent * union.
 
-    First every member of a bucket is held against the bucket's least member. Then
-    members outside the bucket's largest component are held against ``PIVOTS`` of its
-    members, drawn by hash. Of components that then still meet in a bucket all members
-    are held against each other, each pair once and made only if signatures and sizes
-    are close; pairs within a component never are. So a large group of near copies
-    costs rows in proportion to its size, and no candidate pair between components
-    goes untested.
+    1. Every member of a bucket is held against the bucket's least member, its lead.
+    2. Where the other members still form several components, those outside the largest one are held
+       against ``PIVOTS`` of its members, drawn by hash, in up to ``ROUNDS`` rounds. So a large group of
+       near copies falls together in rows proportional to its size.
+    3. Members of buckets that stay divided are compared by prefixes: sets of size n in one order of
+       items, rare ones first, can only link if they share an item among the first
+       n - ceil(n * percent / 100) + 1, at places that leave enough items behind. Pairs of one
+       component are left out. This finds every link that is left, and groups of texts that resemble
+       each other without linking differ in rare items, so they cost few pairs.
     """
-    leads = keyed.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
-    members = scratch.save(keyed.join(leads, "key"))
-    side = lambda x: sigs.select(F.col("v").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x))
-    near = close("sa", "sb") & (F.lit(True) if not sized else 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    ends = keyed.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
+    members = scratch.save(keyed.join(ends, "key").where("v <> lead"))
+    nodes = scratch.save(nodes_of(members.select(F.explode(F.array("v", "lead")).alias("v")).distinct()))
+    side = lambda x: nodes.select(F.col("v").alias(x), F.col("sig").alias("s" + x), F.col("x").alias("x" + x))
 
-    sets: list[DataFrame] = []
+    def linked(p: Column) -> Column:
+        return bind(
+            F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("both"), (F.size(p["a"]) + F.size(p["b"])).alias("sum")),
+            lambda q: 100 * q["both"] >= percent * (q["sum"] - q["both"]),
+        )
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose sets link."""
-        pairs = scratch.save(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        for had in sets:
-            wanted = wanted.join(had.select("v"), "v", "left_anti")
-        if not sets or not (wanted := scratch.save(wanted)).isEmpty():
-            sets.append(scratch.save(sets_of(wanted)))
-        known = sets[0]
-        for had in sets[1:]:
-            known = known.unionAll(had)
-        both = pairs.join(known.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
-
-    stars = members.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b")).distinct()
-    links = scratch.save(confirm(stars.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")))
+        """Of pairs (a, b), those that link."""
+        both = pairs.join(side("a"), "a").join(side("b"), ["b"])
+        both = both.where(close("sa", "sb")).select("a", "b", "xa", "xb")
+        return scratch.save(both.where(bind(F.struct(as_set(F.col("xa")).alias("a"), as_set(F.col("xb")).alias("b")), linked)).select("a", "b"))
 
     def divided(comp: DataFrame) -> DataFrame:
-        """Members (key, v, c, main) of buckets with several components; main: the bucket's largest."""
+        """Members (key, v, c, main) of buckets whose members other than the lead are of several components."""
         named = members.join(comp.select("v", F.col("component").alias("c")), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
         sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
         mains = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"))).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
         return scratch.save(named.join(mains.select("key", "m.main"), "key"))
 
+    links = confirm(members.select(F.col("v").alias("a"), F.col("lead").alias("b")).distinct())
     comp = components(links, scratch)
     named = divided(comp)
     for turn in range(ROUNDS):
         least = [F.min(F.struct(F.xxhash64("v", F.lit(turn * PIVOTS + i)).alias("h"), "v")).alias(f"p{i}") for i in range(PIVOTS)]
         pivots = named.where("c = main").groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}.v" for i in range(PIVOTS)]))).alias("b"))
-        pairs = named.where("c <> main").select("key", F.col("v").alias("a")).join(pivots, "key").select("a", "b").distinct()
-        more = scratch.save(confirm(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")))
+        more = confirm(named.where("c <> main").select("key", F.col("v").alias("a")).join(pivots, "key").select("a", "b").distinct())
         if more.isEmpty():
             break
         links = links.unionAll(more)
         comp = components(links, scratch)
+        scratch.drop(named)
         named = divided(comp)
-    # components that still meet in a bucket, each pair once, the smaller one's members sent to the larger one
-    kinds = named.select("key", "c").distinct()
-    meet = kinds.join(kinds.select("key", F.col("c").alias("d")), "key").where("c < d").select("c", "d").distinct()
-    own = members.select("v").distinct().join(comp.select("v", F.col("component").alias("c")), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
-    sizes = own.groupBy("c").agg(F.count("*").alias("n"))
-    meet = meet.join(sizes.withColumnRenamed("n", "cn"), "c").join(sizes.select(F.col("c").alias("d"), F.col("n").alias("dn")), "d")
-    meet = meet.select(F.when(F.col("cn") <= F.col("dn"), F.col("c")).otherwise(F.col("d")).alias("small"), F.when(F.col("cn") <= F.col("dn"), F.col("d")).otherwise(F.col("c")).alias("large"))
-    left = meet.join(own.select(F.col("c").alias("small"), F.col("v").alias("a")), "small").join(side("a"), "a")
-    right = own.select(F.col("c").alias("of"), F.col("v").alias("b")).join(side("b"), "b")
-    pairs = left.join(right, (F.col("large") == F.col("of")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(confirm(pairs))
-    if more.isEmpty():
-        return comp
-    return components(links.unionAll(more), scratch)
+    more = confirm(_prefix_pairs(named.select("v", "c").distinct(), nodes, as_set, close, percent, scratch))
+    return comp if more.isEmpty() else components(links.unionAll(more), scratch)
+
+
+def _prefix_pairs(rest: DataFrame, nodes: DataFrame, as_set: Callable[[Column], Column], close: Callable[[str, str], Column], percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (v, c) of different c that may link."""
+    held = nodes.join(rest, "v").select("v", "c", "sig", as_set(F.col("x")).alias("s"))
+    slot = lambda t: F.pmod(t, F.lit(SLOTS)).cast("int")
+    counts = held.select(F.explode("s").alias("t")).groupBy(slot(F.col("t")).alias("i")).agg(F.floor(4 * F.log2(F.count("*"))).cast("tinyint").alias("n"))
+    every = held.sparkSession.range(SLOTS, numPartitions=1).select(F.col("id").cast("int").alias("i")).join(counts, "i", "left")
+    table = every.agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0).cast("tinyint")).alias("n")))).alias("all")).select(F.lit(1).alias("one"), F.col("all.n").alias("common"))
+    # how common, then the item's lower 56 bits: one long, which sorts rare items first
+    rank = lambda t: F.shiftleft(F.get("common", slot(t)).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
+    ranked = held.withColumn("one", F.lit(1)).join(F.broadcast(scratch.save(table)), "one").select("v", "c", "sig", F.sort_array(F.transform("s", rank)).alias("s"))
+    first = F.size("s") - F.expr(f"cast((size(s) * {percent} + 99) div 100 as int)") + 1
+    items = scratch.save(ranked.select("v", "c", "sig", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "t")))
+    # items of one component alone make no pair; of the others, members of the largest are not paired with each other
+    by = items.groupBy("t", "c").agg(F.count("*").alias("k")).groupBy("t").agg(F.max(F.struct("k", F.col("c").alias("main"))).alias("m"), F.count("*").alias("kinds"))
+    items = scratch.save(items.join(by.where("kinds > 1").select("t", "m.main"), "t"))
+    a = items.where("c <> main").select("t", *[F.col(x).alias(x + "a") for x in ("v", "c", "sig", "n", "at")])
+    b = items.select("t", (F.col("c") == F.col("main")).alias("large"), *[F.col(x).alias(x + "b") for x in ("v", "c", "sig", "n", "at")])
+    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))  # this item and those after it
+    fits = (F.col("ca") != F.col("cb")) & (F.col("large") | (F.col("va") < F.col("vb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    fits &= ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))) & close("siga", "sigb")
+    return a.join(b, (a["t"] == b["t"]) & fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()

@@ -3,10 +3,9 @@
 A line's set holds the hashes of its K-character shingles (UTF-16 units; a shorter line
 is one shingle). Its signature has 33 positions, the least (x * A[i] + B[i]) mod 2**40
 over the 31-bit hashes x of the set: each position orders the set anew, so two sets agree
-in each with the probability of their Jaccard similarity, and one pass of multiplications
-and minima, compiled by whole-stage code generation, gives all of them. 11 bands of 3
-positions meet a pair of similarity 0.8 but for 4e-4, and of such pairs 6e-5 differ in
-more than 16 positions (a test measures both); links are confirmed on the full sets.
+in each with the probability of their Jaccard similarity. One pass of multiplications and
+minima, compiled by whole-stage code generation, gives all of them. 11 bands
+of 3 positions meet a pair of similarity 0.8 but for 4e-4, and of such pairs 6e-5 differ in more than 16 positions (a test measures both); links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amberline.llm.buckets import lanes_differ, link_buckets
+from amberline.llm.buckets import bind, lanes_differ, link_buckets
 from amberline.llm.scratch import Scratch
 from amberline.llm.text import mix_int
 
@@ -28,25 +27,24 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line, h1, h2) of the lines that are not blank, without rows that lack a doc_id."""
     each = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = each.where(F.trim(F.regexp_replace("line", r"[\t\r]", " ")) != "")
-    return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+    return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _shingle_hashes(k: int) -> Column:
-    """The distinct shingle hashes of column ``line`` as an array."""
+def _shingle_hashes(line: Column, k: int) -> Column:
+    """The distinct shingle hashes of a line as an array."""
 
     def hashes(unit: Column) -> Column:
         last = F.greatest(F.octet_length(unit) / 2 - k, F.lit(0)).cast("int")
         return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(unit, 2 * i + 1, F.lit(2 * k)))))
 
-    # the outer transform binds the encoded line, which is else encoded anew for each shingle
-    return F.transform(F.array(F.encode("line", "UTF-16BE")), hashes)[0]
+    return bind(F.encode(line, "UTF-16BE"), hashes)
 
 
 def signatures(each: DataFrame) -> DataFrame:
-    """(v, n, sig, keys) of rows (v, h), a row each shingle: how many, low bytes of the positions, hashes of the bands."""
+    """(v, sig, keys) of rows (v, h), a row each shingle: low bytes of the positions, hashes of the bands."""
     each = each.select("v", F.col("h").bitwiseAND(F.lit((1 << 31) - 1)).alias("x"))
     mins = [F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"m{i}") for i, (a, b) in enumerate(_POINTS)]
-    sig = each.groupBy("v").agg(*mins, F.count("*").alias("n"))
+    sig = each.groupBy("v").agg(*mins)
     lanes = []
     for j in range(0, BANDS * ROWS, 8):
         x = F.col(f"m{j}").bitwiseAND(F.lit(255))
@@ -54,7 +52,7 @@ def signatures(each: DataFrame) -> DataFrame:
             x = x.bitwiseOR(F.shiftleft(F.col(f"m{j + i}").bitwiseAND(F.lit(255)), 8 * i))
         lanes.append(x)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + i}" for i in range(ROWS)]) for b in range(BANDS)]
-    return sig.select("v", "n", F.array(*lanes).alias("sig"), F.array(*bands).alias("keys"))
+    return sig.select("v", F.array(*lanes).alias("sig"), F.array(*bands).alias("keys"))
 
 
 def close(a: str, b: str) -> Column:
@@ -70,14 +68,13 @@ def fuzzy_lines(docs: DataFrame, scratch: Scratch, k: int = 8, percent: int = 80
     unit = lines.select("v", F.encode("line", "UTF-16BE").alias("unit"))
     unit = unit.select("v", "unit", F.greatest(F.octet_length("unit") / 2 - k, F.lit(0)).cast("int").alias("last"))
     each = unit.select("v", "unit", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    each = each.select("v", F.xxhash64(F.substring("unit", 2 * F.col("i") + 1, F.lit(2 * k))).alias("h"))
-    sig = scratch.save(signatures(each))
+    sig = scratch.save(signatures(each.select("v", F.xxhash64(F.substring("unit", 2 * F.col("i") + 1, F.lit(2 * k))).alias("h"))))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return lines.select("v", "line").join(wanted, "v", "left_semi").select("v", _shingle_hashes(k).alias("s"))
+    def nodes_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(sig.select("v", "sig"), "v")
+        return lines.select("v", F.col("line").alias("x")).join(wanted, "v").select("v", "sig", "x")
 
-    # n counts repeated shingles too, so sizes are not held against each other
-    comp = link_buckets(sig.select(F.explode("keys").alias("key"), "v"), sig.select("v", "n", "sig"), close, sets_of, percent, scratch, sized=False)
+    comp = link_buckets(sig.select(F.explode("keys").alias("key"), "v"), nodes_of, lambda x: _shingle_hashes(x, k), close, percent, scratch)
     narrow = lines.drop("line").join(comp, "v", "left")
     cid = F.coalesce("component", "v")
     linked = comp.select("component").distinct().withColumnRenamed("component", "c")

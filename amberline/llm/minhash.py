@@ -122,11 +122,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     def close(a: str, b: str) -> Column:
         return sum((lanes_differ(F.col(a)[i], F.col(b)[i], 16) for i in range(1, CHUNKS)), lanes_differ(F.col(a)[0], F.col(b)[0], 16)) <= DISTANCE
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
+    def nodes_of(wanted: DataFrame) -> DataFrame:
         own = docs.join(wanted.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
-        return own.mapInArrow(partial(_sets, n=words), "v long, s array<long>")
+        sets = own.mapInArrow(partial(_sets, n=words), "v long, x array<long>")
+        return classes.select(F.col("rep").alias("v"), "sig").join(sets, "v")
 
-    comp = link_buckets(keyed, classes.select(F.col("rep").alias("v"), "n", "sig"), close, sets_of, percent, scratch)
+    comp = link_buckets(keyed, nodes_of, lambda x: x, close, percent, scratch)
 
     # a document stands for all its rows, and so joins the classes of all of them
     rows = sig.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")

@@ -9,19 +9,20 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Seconds that a write takes which may leave shuffle files worth freeing at once.
-LONG = 5.0
+#: With this setting Spark removes the shuffle files of a statement when it ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder, from the session; a local session without one gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="amberline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -44,12 +45,12 @@ class Scratch:
         """``df`` written once and read again."""
         path = f"{self.base}/{self.count}"
         self.count += 1
-        began = time.monotonic()
-        df.write.option("compression", "zstd").parquet(path)
-        # lets the cleaner free large shuffles behind it; events of the write may hold them a moment
-        for _ in range(2 * (time.monotonic() - began > LONG)):
-            time.sleep(0.1)
-            self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._amberline_path = path
