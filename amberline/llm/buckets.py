@@ -12,6 +12,8 @@ from amberline.llm.scratch import Scratch
 
 #: Members of a bucket's largest component that the others are held against in a round, and how often at most.
 PIVOTS, ROUNDS = 8, 3
+#: Buckets that stay divided with so many members at most are compared pair by pair.
+SMALL = 8
 #: Counters of how common items are, by hash: the bytes of the one row that is broadcast.
 SLOTS = 1 << 18
 
@@ -48,7 +50,8 @@ def link_buckets(
     2. Where the other members still form several components, those outside the largest one are held
        against ``PIVOTS`` of its members, drawn by hash, in up to ``ROUNDS`` rounds. So a large group of
        near copies falls together in rows proportional to its size.
-    3. Members of buckets that stay divided are compared by prefixes: sets of size n in one order of
+    3. Of buckets that stay divided, those of ``SMALL`` members at most give their pairs of different
+       components. Members of larger ones are compared by prefixes: sets of size n in one order of
        items, rare ones first, can only link if they share an item among the first
        n - ceil(n * percent / 100) + 1, at places that leave enough items behind. Pairs of one
        component are left out. This finds every link that is left, and groups of texts that resemble
@@ -72,11 +75,11 @@ def link_buckets(
         return scratch.save(both.where(bind(F.struct(as_set(F.col("xa")).alias("a"), as_set(F.col("xb")).alias("b")), linked)).select("a", "b"))
 
     def divided(comp: DataFrame) -> DataFrame:
-        """Members (key, v, c, main) of buckets whose members other than the lead are of several components."""
+        """Members (key, v, c, main, size) of buckets whose members other than the lead are of several components."""
         named = members.join(comp.select("v", F.col("component").alias("c")), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
         sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
-        mains = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"))).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-        return scratch.save(named.join(mains.select("key", "m.main"), "key"))
+        mains = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"))).alias("m"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1")
+        return scratch.save(named.join(mains.select("key", "m.main", "size"), "key"))
 
     links = confirm(members.select(F.col("v").alias("a"), F.col("lead").alias("b")).distinct())
     comp = components(links, scratch)
@@ -91,28 +94,31 @@ def link_buckets(
         comp = components(links, scratch)
         scratch.drop(named)
         named = divided(comp)
-    more = confirm(_prefix_pairs(named.select("v", "c").distinct(), nodes, as_set, close, percent, scratch))
+    few = named.where(F.col("size") <= SMALL)
+    pairs = few.select("key", F.col("v").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("v").alias("b"), F.col("c").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b")
+    pairs = pairs.unionAll(_prefix_pairs(named.where(F.col("size") > SMALL).select("v", "c").distinct(), nodes, as_set, percent, scratch))
+    more = confirm(pairs.distinct())
     return comp if more.isEmpty() else components(links.unionAll(more), scratch)
 
 
-def _prefix_pairs(rest: DataFrame, nodes: DataFrame, as_set: Callable[[Column], Column], close: Callable[[str, str], Column], percent: int, scratch: Scratch) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, nodes: DataFrame, as_set: Callable[[Column], Column], percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of ``rest`` (v, c) of different c that may link."""
-    held = nodes.join(rest, "v").select("v", "c", "sig", as_set(F.col("x")).alias("s"))
+    held = nodes.join(rest, "v").select("v", "c", as_set(F.col("x")).alias("s"))
     slot = lambda t: F.pmod(t, F.lit(SLOTS)).cast("int")
     counts = held.select(F.explode("s").alias("t")).groupBy(slot(F.col("t")).alias("i")).agg(F.floor(4 * F.log2(F.count("*"))).cast("tinyint").alias("n"))
     every = held.sparkSession.range(SLOTS, numPartitions=1).select(F.col("id").cast("int").alias("i")).join(counts, "i", "left")
     table = every.agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0).cast("tinyint")).alias("n")))).alias("all")).select(F.lit(1).alias("one"), F.col("all.n").alias("common"))
     # how common, then the item's lower 56 bits: one long, which sorts rare items first
     rank = lambda t: F.shiftleft(F.get("common", slot(t)).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
-    ranked = held.withColumn("one", F.lit(1)).join(F.broadcast(scratch.save(table)), "one").select("v", "c", "sig", F.sort_array(F.transform("s", rank)).alias("s"))
+    ranked = held.withColumn("one", F.lit(1)).join(F.broadcast(scratch.save(table)), "one").select("v", "c", F.sort_array(F.transform("s", rank)).alias("s"))
     first = F.size("s") - F.expr(f"cast((size(s) * {percent} + 99) div 100 as int)") + 1
-    items = scratch.save(ranked.select("v", "c", "sig", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "t")))
+    items = scratch.save(ranked.select("v", "c", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "t")))
     # items of one component alone make no pair; of the others, members of the largest are not paired with each other
     by = items.groupBy("t", "c").agg(F.count("*").alias("k")).groupBy("t").agg(F.max(F.struct("k", F.col("c").alias("main"))).alias("m"), F.count("*").alias("kinds"))
     items = scratch.save(items.join(by.where("kinds > 1").select("t", "m.main"), "t"))
-    a = items.where("c <> main").select("t", *[F.col(x).alias(x + "a") for x in ("v", "c", "sig", "n", "at")])
-    b = items.select("t", (F.col("c") == F.col("main")).alias("large"), *[F.col(x).alias(x + "b") for x in ("v", "c", "sig", "n", "at")])
+    a = items.where("c <> main").select("t", *[F.col(x).alias(x + "a") for x in ("v", "c", "n", "at")])
+    b = items.select("t", (F.col("c") == F.col("main")).alias("large"), *[F.col(x).alias(x + "b") for x in ("v", "c", "n", "at")])
     most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))  # this item and those after it
     fits = (F.col("ca") != F.col("cb")) & (F.col("large") | (F.col("va") < F.col("vb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    fits &= ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))) & close("siga", "sigb")
-    return a.join(b, (a["t"] == b["t"]) & fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()
+    fits &= ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    return a.join(b, (a["t"] == b["t"]) & fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"))

@@ -87,9 +87,13 @@ def fuzzy_lines(docs: DataFrame, scratch: Scratch, k: int = 8, percent: int = 80
 
 def removed_lines(docs: DataFrame, scratch: Scratch, k: int = 8, percent: int = 80) -> DataFrame:
     """(doc_id, gone): the places of the lines that go, for documents that lose any."""
-    keep = scratch.save(fuzzy_lines(docs, scratch, k, percent))
+    inner = Scratch(docs.sparkSession, "lines")
+    keep = scratch.save(fuzzy_lines(docs, inner, k, percent))
+    inner.clear()
     rows = line_rows(docs).drop("line").join(keep, ["h1", "h2"]).where("doc_id <> keep_doc or pos <> keep_pos")
-    return scratch.save(rows.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))
+    gone = scratch.save(rows.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))
+    scratch.drop(keep)
+    return gone
 
 
 def line_dedup(docs: DataFrame, scratch: Scratch, k: int = 8, percent: int = 80) -> DataFrame:

@@ -113,10 +113,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     share a doc_id count as one document. A null doc_id links with nothing (component
     null, kept true). Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    sig = scratch.save(docs.mapInArrow(partial(_signatures, n=words), "doc_id long, n long, d1 long, d2 long, sig array<long>"))
+    docs, inner = docs.select("doc_id", "text"), Scratch(docs.sparkSession, "minhash")
+    sig = inner.save(docs.mapInArrow(partial(_signatures, n=words), "doc_id long, n long, d1 long, d2 long, sig array<long>"))
     real = sig.where("n > 0 and doc_id is not null")
-    classes = scratch.save(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
+    classes = inner.save(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
     keyed = classes.select(F.explode(_keys("sig")).alias("key"), F.col("rep").alias("v"))
 
     def close(a: str, b: str) -> Column:
@@ -127,11 +127,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
         sets = own.mapInArrow(partial(_sets, n=words), "v long, x array<long>")
         return classes.select(F.col("rep").alias("v"), "sig").join(sets, "v")
 
-    comp = link_buckets(keyed, nodes_of, lambda x: x, close, percent, scratch)
+    comp = link_buckets(keyed, nodes_of, lambda x: x, close, percent, inner)
 
     # a document stands for all its rows, and so joins the classes of all of them
     rows = sig.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     rows = rows.withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     out = rows.join(comp.withColumnRenamed("v", "rep"), "rep", "left")
     cid = F.coalesce("component", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept")))
+    inner.clear()
+    return out

@@ -56,6 +56,10 @@ class Scratch:
         out._amberline_path = path
         return out
 
+    def clear(self) -> None:
+        """Remove all tables of this run."""
+        _remove(self.spark, self.base)
+
     def drop(self, *saved: DataFrame) -> None:
         """Remove tables that nothing will read again."""
         for df in saved:
