@@ -41,10 +41,11 @@ def _tokenizer(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the first two bytes of what the tokenizer finds in a text before anything else
+        marks = {t.content.encode()[:2] for t in tok.get_added_tokens_decoder().values()}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
-        _state.update(path=path, tok=tok, chars=chars, cache={})
+        _state.update(path=path, tok=tok, chars=chars, cache={}, marks=marks)
     return _state["tok"]
 
 
@@ -69,6 +70,8 @@ def encode_rows(data: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarra
     after = np.append(data[1:], 0)
     odd = ~_ORDINARY[data]
     odd |= (data == 0x27) & _AFTER_QUOTE[after]
+    for mark in _state["marks"]:
+        odd |= (data == mark[0]) & (after == mark[-1])
     lead = np.append(False, data[:-1] == 0xC3)
     odd |= (data >= 0x80) & (data < 0xC0) & ~lead
     count = np.concatenate([[0], np.cumsum(odd)])

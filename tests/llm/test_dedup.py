@@ -141,6 +141,35 @@ def test_rows_that_share_a_doc_id(spark, scratch):
         assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted(want)
 
 
+def test_words_that_polynomial_hashes_confuse(spark, scratch):
+    """Long words after the Thue-Morse pattern collide under every polynomial modulo 2**64; here they stay apart."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    tail = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.substring_dedup(df, scratch, 20).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df.where("doc_id > 2"), scratch, 2).collect()}
+    assert got == {3: 3, 4: 4}
+
+
+def test_divided_buckets_lose_no_link(spark, scratch):
+    """Groups of texts that resemble each other, some linking and some not, beyond the size that is paired directly."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice((2, 6, 10, 14))):
+            words[rng.randrange(120)] = f"e{rng.randrange(10_000)}"
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = {i: shingle_set(t, 2) for i, t in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = reach(list(sets), links)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, scratch, 2, 80).collect()} == low
+    assert len(set(low.values())) > 3 and links
+
+
 def test_lines_against_brute_force(spark, scratch, docs):
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     k, own = 8, []

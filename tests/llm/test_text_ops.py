@@ -22,12 +22,11 @@ WORD_BPE = vocabularies.path("word_bpe_49k.json")
 
 def ids_of(texts):
     tok = tokenizers.Tokenizer.from_file(WORD_BPE)
-    tok.encode_special_tokens = True
     return [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_encoding_is_the_tokenizers():
-    texts = [*TEXTS, "Don't we'LL 's", "É×÷Ÿ ñandú", "a1b22 c...d''s", "x\x1cz", "<|endoftext|> hi", "ﬁ ſ İ", "naïve\r\n\tb", "''d'", "¼½ª"]
+    texts = [*TEXTS, "Don't we'LL 's", "É×÷Ÿ ñandú", "a1b22 c...d''s", "x\x1cz", "hello <|endoftext|> world", "<|startoftext|>a<|ENDOFTEXT|>", "a < | b <| c", "ﬁ ſ İ", "naïve\r\n\tb", "''d'", "¼½ª"]
     data, off = X.rows_of(pa.array(texts))
     got, at = packing.encode_rows(data, off, WORD_BPE)
     assert [got[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == ids_of(texts)
