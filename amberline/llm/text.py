@@ -26,6 +26,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240116)
 _TABLES = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASES = [int(x) | 1 for x in _rng.integers(2**61, 2**63, 4, dtype=np.uint64)]
+#: Bytes of a word that the running sums hash.
+SHORT = 32
 _PLACE_BITS = 6
 PLACES = 1 << _PLACE_BITS
 _PLACES = [_rng.integers(0, 2**64, PLACES * 256, dtype=np.uint64) for _ in range(2)]
@@ -107,21 +109,27 @@ def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each word (or other span).
 
-    The sum of a random number for each byte at its place in the word: unlike a polynomial
-    modulo 2**64, it has no texts of a pattern that collide whatever the base.
+    Up to ``SHORT`` bytes a polynomial modulo 2**64, over running sums of all bytes. Among longer
+    words there are patterns that collide whatever the base, so those get the sum of a random
+    number for each byte at its place in the word.
     """
-    sizes = ends - starts
-    some = np.flatnonzero(sizes)
-    out = np.zeros(len(starts), np.uint64)
-    if len(some):
-        firsts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-        place = spread(np.zeros(len(some), np.int64), sizes[some])
-        each = data[np.repeat(starts[some], sizes[some]) + place]
-        h = _PLACES[which][((place & (PLACES - 1)) << 8) | each]
-        if len(far := np.flatnonzero(place >= PLACES)):
-            h[far] = mix(h[far] + (place[far] >> _PLACE_BITS).astype(np.uint64) * np.uint64(_BASE))
-        out[some] = np.add.reduceat(h, firsts)
-    return mix(out + sizes.astype(np.uint64) * np.uint64(_BASE))
+    n, sizes = len(data), ends - starts
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLES[which][data] * powers(_BASES[which], n), out=total[1:])
+    h = (total[ends] - total[starts]) * powers(_BASES[which], n + 1, True)[starts]
+    if len(far := np.flatnonzero(sizes > SHORT)):
+        h[far] = _placed(data, starts[far], sizes[far], which)
+    return mix(h + sizes.astype(np.uint64) * np.uint64(_BASE))
+
+
+def _placed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: int) -> np.ndarray:
+    """The sum over each span of a random number for the byte and its place."""
+    place = spread(np.zeros(len(sizes), np.int64), sizes)
+    each = data[np.repeat(starts, sizes) + place]
+    h = _PLACES[which][((place & (PLACES - 1)) << 8) | each]
+    late = np.flatnonzero(place >= PLACES)
+    h[late] = mix(h[late] + (place[late] >> _PLACE_BITS).astype(np.uint64) * np.uint64(_BASE))
+    return np.add.reduceat(h, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
 def windows(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
