@@ -32,7 +32,7 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def link_buckets(
-    keyed: DataFrame,
+    keyed: list[DataFrame],
     nodes_of: Callable[[DataFrame], DataFrame],
     as_set: Callable[[Column], Column],
     close: Callable[[str, str], Column],
@@ -41,12 +41,13 @@ def link_buckets(
 ) -> DataFrame:
     """(v, component) of all links among vertices that share a key; only vertices that are not the least.
 
-    keyed: (key, v). nodes_of: (v, sig, x), a signature and the content of each v wanted, asked for once.
+    keyed: tables (key, v) without a key in common; one is shuffled at a time. nodes_of: (v, sig, x), a signature and the content of each v wanted, asked for once.
     as_set: the whole set of a content as an array of longs without repeats. close: whether the
     signatures in two named columns are near enough.
     Sets link when 100 * intersection >= percent * union.
 
-    1. Every member of a bucket is held against the bucket's least member, its lead.
+    1. Every member of a bucket is held against the bucket's least member, its lead; first the one lead
+       that it shares most keys with, then those that are not in its component already.
     2. Where the other members still form several components, those outside the largest one are held
        against ``PIVOTS`` of its members, drawn by hash, in up to ``ROUNDS`` rounds. So a large group of
        near copies falls together in rows proportional to its size.
@@ -57,8 +58,11 @@ def link_buckets(
        component are left out. This finds every link that is left, and groups of texts that resemble
        each other without linking differ in rare items, so they cost few pairs.
     """
-    ends = keyed.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
-    members = scratch.save(keyed.join(ends, "key").where("v <> lead"))
+    members = None
+    for part in keyed:
+        ends = part.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("key", "lead")
+        some = scratch.save(part.join(ends, "key").where("v <> lead"))
+        members = some if members is None else members.unionAll(some)
     nodes = scratch.save(nodes_of(members.select(F.explode(F.array("v", "lead")).alias("v")).distinct()))
     side = lambda x: nodes.select(F.col("v").alias(x), F.col("sig").alias("s" + x), F.col("x").alias("x" + x))
 
@@ -69,10 +73,13 @@ def link_buckets(
         )
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link."""
-        both = pairs.join(side("a"), "a").join(side("b"), ["b"])
-        both = both.where(close("sa", "sb")).select("a", "b", "xa", "xb")
-        return scratch.save(both.where(bind(F.struct(as_set(F.col("xa")).alias("a"), as_set(F.col("xb")).alias("b")), linked)).select("a", "b"))
+        """Of pairs (a, b), those that link; contents travel for those alone whose signatures are near."""
+        near = pairs.join(side("a").drop("xa"), "a").join(side("b").drop("xb"), "b").where(close("sa", "sb")).select("a", "b")
+        near = scratch.save(near)
+        both = near.join(side("a").drop("sa"), "a").join(side("b").drop("sb"), "b")
+        out = scratch.save(both.where(bind(F.struct(as_set(F.col("xa")).alias("a"), as_set(F.col("xb")).alias("b")), linked)).select("a", "b"))
+        scratch.drop(near)
+        return out
 
     def divided(comp: DataFrame) -> DataFrame:
         """Members (key, v, c, main, size) of buckets whose members other than the lead are of several components."""
@@ -81,8 +88,17 @@ def link_buckets(
         mains = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"))).alias("m"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1")
         return scratch.save(named.join(mains.select("key", "m.main", "size"), "key"))
 
-    links = confirm(members.select(F.col("v").alias("a"), F.col("lead").alias("b")).distinct())
+    leads = scratch.save(members.groupBy(F.col("v").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("n")))
+    best = scratch.save(leads.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    links = confirm(best)
     comp = components(links, scratch)
+    rest = leads.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(comp.select(F.col("v").alias(end), F.col("component").alias("c" + end)), end, "left")
+    more = confirm(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    links = links.unionAll(more)
+    comp = components(links, scratch)
+    scratch.drop(leads, best)
     named = divided(comp)
     for turn in range(ROUNDS):
         least = [F.min(F.struct(F.xxhash64("v", F.lit(turn * PIVOTS + i)).alias("h"), "v")).alias(f"p{i}") for i in range(PIVOTS)]

@@ -1,11 +1,13 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only (operator 5).
 
 A line's set holds the hashes of its K-character shingles (UTF-16 units; a shorter line
-is one shingle). Its signature has 33 positions, the least (x * A[i] + B[i]) mod 2**40
+is one shingle). Its signature has 24 positions, the least (x * A[i] + B[i]) mod 2**40
 over the 31-bit hashes x of the set: each position orders the set anew, so two sets agree
 in each with the probability of their Jaccard similarity. One pass of multiplications and
-minima, compiled by whole-stage code generation, gives all of them. 11 bands
-of 3 positions meet a pair of similarity 0.8 but for 4e-4, and of such pairs 6e-5 differ in more than 16 positions (a test measures both); links are confirmed on the full sets.
+minima, compiled by whole-stage code generation, gives all of them, in the tasks that
+merge equal lines. 16 bands of 3 positions, each position in two of them, meet a pair of
+similarity 0.8 but for 3.3e-4, and of such pairs 4e-5 differ in more than 13 positions (a
+test measures both); links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -17,16 +19,21 @@ from amberline.llm.buckets import bind, lanes_differ, link_buckets
 from amberline.llm.scratch import Scratch
 from amberline.llm.text import mix_int
 
-BANDS, ROWS, DIFFER = 11, 3, 16
+POSITIONS, DIFFER = 24, 13
+
+#: The positions of each band: by rows, then by columns of a table of 8 by 3.
+_BANDS = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(8)] + [(i, i + 8, i + 16) for i in range(8)]
+#: Bands whose keys are shuffled in one go.
+GROUP = 4
 
 #: A[i], B[i]: 31 bits by 31 bits and 61 more stay within a long.
-_POINTS = [((mix_int(2 * i + 1) >> 33) | 1, mix_int(2 * i + 2) >> 3) for i in range(BANDS * ROWS)]
+_POINTS = [((mix_int(2 * i + 1) >> 33) | 1, mix_int(2 * i + 2) >> 3) for i in range(POSITIONS)]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line, h1, h2) of the lines that are not blank, without rows that lack a doc_id."""
     each = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    each = each.where(F.trim(F.regexp_replace("line", r"[\t\r]", " ")) != "")
+    each = each.where(F.col("line").rlike(r"[^ \t\r]"))
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -40,42 +47,47 @@ def _shingle_hashes(line: Column, k: int) -> Column:
     return bind(F.encode(line, "UTF-16BE"), hashes)
 
 
-def signatures(each: DataFrame) -> DataFrame:
-    """(v, sig, keys) of rows (v, h), a row each shingle: low bytes of the positions, hashes of the bands."""
-    each = each.select("v", F.col("h").bitwiseAND(F.lit((1 << 31) - 1)).alias("x"))
+def signatures(each: DataFrame, by: tuple[str, ...] = ("v",), also: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, *also, sig, keys) of rows (*by, *also, h), a row each shingle: low bytes of the positions, hashes of the bands.
+
+    ``also``: columns that have one value for each ``by``.
+    """
+    each = each.select(*by, *also, F.col("h").bitwiseAND(F.lit((1 << 31) - 1)).alias("x"))
     mins = [F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"m{i}") for i, (a, b) in enumerate(_POINTS)]
-    sig = each.groupBy("v").agg(*mins)
+    sig = each.groupBy(*by).agg(*mins, *[F.min(c).alias(c) for c in also])
     lanes = []
-    for j in range(0, BANDS * ROWS, 8):
+    for j in range(0, POSITIONS, 8):
         x = F.col(f"m{j}").bitwiseAND(F.lit(255))
-        for i in range(1, min(8, BANDS * ROWS - j)):
+        for i in range(1, 8):
             x = x.bitwiseOR(F.shiftleft(F.col(f"m{j + i}").bitwiseAND(F.lit(255)), 8 * i))
         lanes.append(x)
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + i}" for i in range(ROWS)]) for b in range(BANDS)]
-    return sig.select("v", F.array(*lanes).alias("sig"), F.array(*bands).alias("keys"))
+    bands = [F.xxhash64(F.lit(b), *[f"m{i}" for i in at]) for b, at in enumerate(_BANDS)]
+    return sig.select(*by, *also, F.array(*lanes).alias("sig"), F.array(*bands).alias("keys"))
 
 
 def close(a: str, b: str) -> Column:
     """Whether the signatures in two columns differ in few enough positions."""
-    return sum((lanes_differ(F.col(a)[i], F.col(b)[i], 8) for i in range(1, -(-BANDS * ROWS // 8))), lanes_differ(F.col(a)[0], F.col(b)[0], 8)) <= DIFFER
+    return sum((lanes_differ(F.col(a)[i], F.col(b)[i], 8) for i in range(1, POSITIONS // 8)), lanes_differ(F.col(a)[0], F.col(b)[0], 8)) <= DIFFER
 
 
 def fuzzy_lines(docs: DataFrame, scratch: Scratch, k: int = 8, percent: int = 80) -> DataFrame:
     """Where lines that have another occurrence or a near copy are kept: (h1, h2, keep_doc, keep_pos)."""
     seen = line_rows(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("times"), F.first("line").alias("line"))
-    lines = scratch.save(seen.select(F.monotonically_increasing_id().alias("v"), "h1", "h2", "at", "times", "line"))
-
-    unit = lines.select("v", F.encode("line", "UTF-16BE").alias("unit"))
-    unit = unit.select("v", "unit", F.greatest(F.octet_length("unit") / 2 - k, F.lit(0)).cast("int").alias("last"))
-    each = unit.select("v", "unit", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    sig = scratch.save(signatures(each.select("v", F.xxhash64(F.substring("unit", 2 * F.col("i") + 1, F.lit(2 * k))).alias("h"))))
+    unit = seen.select("h1", "h2", "at.doc_id", "at.pos", "times", F.encode("line", "UTF-16BE").alias("unit"))
+    unit = unit.withColumn("last", F.greatest(F.octet_length("unit") / 2 - k, F.lit(0)).cast("int"))
+    each = unit.select("h1", "h2", "doc_id", "pos", "times", "unit", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    each = each.withColumn("h", F.xxhash64(F.substring("unit", 2 * F.col("i") + 1, F.lit(2 * k))))
+    # grouped by what the rows are dealt out by already: the minima are not shuffled
+    sig = signatures(each, ("h1", "h2"), ("doc_id", "pos", "times"))
+    lines = scratch.save(sig.select(F.monotonically_increasing_id().alias("v"), "h1", "h2", F.struct("doc_id", "pos").alias("at"), "times", "sig", "keys"))
 
     def nodes_of(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.join(sig.select("v", "sig"), "v")
-        return lines.select("v", F.col("line").alias("x")).join(wanted, "v").select("v", "sig", "x")
+        wanted = lines.join(wanted, "v").select("v", "sig", "h1", "h2", "at.doc_id", "at.pos")
+        return line_rows(docs).join(wanted, ["doc_id", "pos", "h1", "h2"]).select("v", "sig", F.col("line").alias("x"))
 
-    comp = link_buckets(sig.select(F.explode("keys").alias("key"), "v"), nodes_of, lambda x: _shingle_hashes(x, k), close, percent, scratch)
-    narrow = lines.drop("line").join(comp, "v", "left")
+    keyed = [lines.select(F.explode(F.slice("keys", b + 1, GROUP)).alias("key"), "v") for b in range(0, len(_BANDS), GROUP)]
+    comp = link_buckets(keyed, nodes_of, lambda x: _shingle_hashes(x, k), close, percent, scratch)
+    narrow = lines.select("v", "h1", "h2", "at", "times").join(comp, "v", "left")
     cid = F.coalesce("component", "v")
     linked = comp.select("component").distinct().withColumnRenamed("component", "c")
     many = narrow.withColumn("c", cid).join(linked, "c", "left_semi")

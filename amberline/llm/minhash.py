@@ -88,9 +88,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["v", "s"])
 
 
-def _keys(sig: str) -> Column:
+def _keys(sig: str, chunks: range) -> Column:
     keys = []
-    for c in range(CHUNKS):
+    for c in chunks:
         for lane in range(LANES):
             mask = ((1 << 64) - 1) ^ (0xFFFF << (16 * lane))
             mask -= (1 << 64) if mask >= 1 << 63 else 0
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     sig = inner.save(docs.mapInArrow(partial(_signatures, n=words), "doc_id long, n long, d1 long, d2 long, sig array<long>"))
     real = sig.where("n > 0 and doc_id is not null")
     classes = inner.save(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
-    keyed = classes.select(F.explode(_keys("sig")).alias("key"), F.col("rep").alias("v"))
+    keyed = [classes.select(F.explode(_keys("sig", range(c, c + 2))).alias("key"), F.col("rep").alias("v")) for c in range(0, CHUNKS, 2)]
 
     def close(a: str, b: str) -> Column:
         return sum((lanes_differ(F.col(a)[i], F.col(b)[i], 16) for i in range(1, CHUNKS)), lanes_differ(F.col(a)[0], F.col(b)[0], 16)) <= DISTANCE
