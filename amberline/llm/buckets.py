@@ -48,9 +48,9 @@ def link_buckets(
 
     1. Every member of a bucket is held against the bucket's least member, its lead; first the one lead
        that it shares most keys with, then those that are not in its component already.
-    2. Where the other members still form several components, those outside the largest one are held
-       against ``PIVOTS`` of its members, drawn by hash, in up to ``ROUNDS`` rounds. So a large group of
-       near copies falls together in rows proportional to its size.
+    2. Where the other members of a bucket of more than ``SMALL`` still form several components, those
+       outside the largest one are held against ``PIVOTS`` of its members, drawn by hash, in up to
+       ``ROUNDS`` rounds. So a large group of near copies falls together in rows proportional to its size.
     3. Of buckets that stay divided, those of ``SMALL`` members at most give their pairs of different
        components. Members of larger ones are compared by prefixes: sets of size n in one order of
        items, rare ones first, can only link if they share an item among the first
@@ -100,19 +100,20 @@ def link_buckets(
     comp = components(links, scratch)
     scratch.drop(leads, best)
     named = divided(comp)
+    big = F.col("size") > SMALL
     for turn in range(ROUNDS):
         least = [F.min(F.struct(F.xxhash64("v", F.lit(turn * PIVOTS + i)).alias("h"), "v")).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = named.where("c = main").groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}.v" for i in range(PIVOTS)]))).alias("b"))
-        more = confirm(named.where("c <> main").select("key", F.col("v").alias("a")).join(pivots, "key").select("a", "b").distinct())
+        pivots = named.where(big & (F.col("c") == F.col("main"))).groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}.v" for i in range(PIVOTS)]))).alias("b"))
+        more = confirm(named.where(big & (F.col("c") != F.col("main"))).select("key", F.col("v").alias("a")).join(pivots, "key").select("a", "b").distinct())
         if more.isEmpty():
             break
         links = links.unionAll(more)
         comp = components(links, scratch)
         scratch.drop(named)
         named = divided(comp)
-    few = named.where(F.col("size") <= SMALL)
+    few = named.where(~big)
     pairs = few.select("key", F.col("v").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("v").alias("b"), F.col("c").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b")
-    pairs = pairs.unionAll(_prefix_pairs(named.where(F.col("size") > SMALL).select("v", "c").distinct(), nodes, as_set, percent, scratch))
+    pairs = pairs.unionAll(_prefix_pairs(named.where(big).select("v", "c").distinct(), nodes, as_set, percent, scratch))
     more = confirm(pairs.distinct())
     return comp if more.isEmpty() else components(links.unionAll(more), scratch)
 
